@@ -56,14 +56,13 @@ def english_stopwords() -> list[str]:
 
 def ngrams(words: Column, low: int, high: int) -> Column:
     """All n-grams of the words that are left, so they may bridge a removed stop word."""
-    grams = []
-    for n in range(low, high + 1):
-        if n == 1:
-            grams.append(words)
-            continue
+
+    def of_length(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-        joined = F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
-        grams.append(F.when(F.size(words) >= n, joined).otherwise(F.array().cast("array<string>")))
+        joined = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) >= n, joined).otherwise(F.array().cast("array<string>"))
+
+    grams = [words if n == 1 else of_length(n) for n in range(low, high + 1)]
     return grams[0] if len(grams) == 1 else F.concat(*grams)
 
 

@@ -22,7 +22,7 @@ DECISION = ["ai_sem_sim", "ai_stage2_keep", "ai_stage2_reason"]
 CLUSTER_COLUMNS = ["kmeans_cluster", "agg_cluster", "hdbscan_cluster"]
 
 
-class SemanticPipeline:
+class CorpusStages:
     """harvest, stage1, embed, filter, cluster, label, export over tables under ``root``."""
 
     def __init__(

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.fixed import ABSTRACT_URL, PDF_URL
 from ..functions.text import strip
 
-RECORD = T.StructType.fromDDL(
+RECORD = (
     "header struct<_status: string, identifier: string, datestamp: string>, "
     "metadata struct<arXiv: struct<id: string, created: string, updated: string, title: string, "
     "abstract: string, categories: string, "

@@ -9,24 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PAPERS_RAW = T.StructType(
-    [
-        T.StructField(n, T.StringType())
-        for n in (
-            "id", "title", "authors", "published", "summary", "link", "categories", "updated",
-            "pdf_url",
-        )
-    ]
+# Schemas as DDL, so that importing needs no session.
+PAPERS_RAW = (
+    "id string, title string, authors string, published string, summary string, link string, "
+    "categories string, updated string, pdf_url string"
 )
-PAPERS = T.StructType.fromDDL(
+PAPERS = (
     "id string, title string, authors string, published string, summary string, link string, "
     "kmeans_cluster int, agg_cluster int, hdbscan_cluster int, ai_regex_hit int, "
     "ai_sem_sim double, ai_stage2_keep int, ai_stage2_reason string, domain_tag string"
 )
-EMBEDDINGS = T.StructType.fromDDL(
-    "paper_id string, model string, dim int, vector array<float>, created_at timestamp"
-)
-CLUSTER_META = T.StructType.fromDDL(
+EMBEDDINGS = "paper_id string, model string, dim int, vector array<float>, created_at timestamp"
+CLUSTER_META = (
     "method string, cluster_id int, label string, confidence double, terms array<string>, "
     "created_at timestamp"
 )
@@ -42,8 +36,9 @@ def read_table(
     return df.select(*columns) if columns else df
 
 
-def ensure_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
+def ensure_columns(df: DataFrame, schema: T.StructType | str) -> DataFrame:
     """Add what is missing from ``schema`` as typed NULLs; leave the rest alone."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     missing = {
         f.name: F.lit(None).cast(f.dataType) for f in schema.fields if f.name not in df.columns
     }
@@ -145,8 +140,9 @@ class SnapshotTable:
     a crashed writer never sees half a table. Use a table format with MERGE where you have one.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keep: int = 2):
-        self.spark, self.path, self.schema, self.keep = spark, path.rstrip("/"), schema, keep
+    def __init__(self, spark: SparkSession, path: str, schema: str, keep: int = 2):
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
+        self.schema = T.StructType.fromDDL(schema)
         jvm = spark._jvm
         self._hadoop_path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._hadoop_path(self.path).getFileSystem(
