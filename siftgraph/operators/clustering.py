@@ -6,6 +6,7 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
@@ -13,9 +14,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vectors import l2_normalize
 from ..session import cut
+from .blocks import matrix
 from .neighbours import knn_join, points_of
 from .ordering import number_rows
 from .spanning import connected_components, jump_to_roots, reachability_mst
@@ -91,14 +94,17 @@ def assign_nearest(
         raise ValueError("too many centres to send to every task; use top_matches instead")
     shared = emb.sparkSession.sparkContext.broadcast(np.asarray(centers, dtype=np.float64))
 
-    @F.pandas_udf("int")
-    def nearest(v: pd.Series) -> pd.Series:
+    def nearest(batches):
         c = shared.value
-        x = np.vstack(v.to_numpy()).astype(np.float64) if len(v) else np.zeros((0, c.shape[1]))
-        d2 = (c * c).sum(axis=1)[None, :] - 2.0 * x @ c.T
-        return pd.Series(np.round(d2, 12).argmin(axis=1).astype(np.int32))
-
-    return emb.withColumn(out, nearest(F.col(vec_col)))
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if table.num_rows:
+                d2 = (c * c).sum(axis=1)[None, :] - 2.0 * matrix(table, vec_col) @ c.T
+                found = np.round(d2, 12).argmin(axis=1).astype(np.int32)
+                yield from table.append_column(out, pa.array(found)).to_batches()
+
+    schema = T.StructType([*emb.schema.fields, T.StructField(out, T.IntegerType())])
+    return emb.mapInArrow(nearest, schema)
 
 
 def kmeans(

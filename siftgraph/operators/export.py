@@ -25,7 +25,7 @@ def node_defaults(papers: DataFrame) -> DataFrame:
             "authors": _or("authors", ""),
             "published": _or("published", ""),
             "domain_tag": _or("domain_tag", "unknown"),
-            "link": _or("link", F.col("id")),
+            "link": _or("link", F.col("id").cast("string")),
         }
     )
 

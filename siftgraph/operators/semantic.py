@@ -42,9 +42,9 @@ def centroid_filter(
     on its key, and scored in place.
     """
     center = centroid(seed_vectors(seeds, emb, model)).select("centroid").scalar()
-    scored = vector_or_null(papers, emb, model)
-    sim = dot(l2_normalize(F.col("vector")), center)
-    return _decide(scored, sim, tau, f"centroid tau={tau}")
+    scored = vector_or_null(papers, emb, model).withColumn("_center", center)
+    sim = dot(l2_normalize(F.col("vector")), F.col("_center"))
+    return _decide(scored, sim, tau, f"centroid tau={tau}").drop("_center")
 
 
 def classifier_filter(

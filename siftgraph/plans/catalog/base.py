@@ -216,6 +216,20 @@ cluster_terms AS (
 }
 
 
+# Grows one tree per cluster, an edge a step: the strongest edge from inside to outside.
+MST = """start AS (SELECT cid, min(id) AS root FROM unit GROUP BY cid),
+grow AS (
+  SELECT cid, [root] AS seen, CAST(NULL AS BIGINT) AS src, CAST(NULL AS BIGINT) AS dst,
+    CAST(NULL AS DOUBLE) AS sim FROM start
+  UNION ALL
+  SELECT g.cid, list_append(g.seen, b.e.dst), least(b.e.src, b.e.dst), greatest(b.e.src, b.e.dst), b.e.sim
+  FROM grow g JOIN LATERAL (
+    SELECT arg_max({'src': p.src, 'dst': p.dst, 'sim': p.sim}, p.sim) AS e FROM pairs p
+    WHERE p.cid = g.cid AND p.other = g.cid AND list_contains(g.seen, p.src)
+      AND NOT list_contains(g.seen, p.dst)) b ON b.e IS NOT NULL)
+"""
+
+
 def _needed(names: list[str]) -> list[str]:
     found: dict[str, str] = {}
 

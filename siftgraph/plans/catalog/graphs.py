@@ -11,7 +11,7 @@ from ...operators.spanning import cluster_mst
 from ...session import cut, scratch_path
 from ...sources import sinks
 from ..build_graph import build_graph
-from .base import clustered, embeddings, papers, query, table
+from .base import MST, clustered, embeddings, papers, query, table
 
 QUERY = " Tion EN "
 
@@ -279,11 +279,6 @@ def attach_labels(spark, sf):
     return export.attach_labels(graph.clusters(clustered(spark, sf)), meta)
 
 
-_GRAPH_LINKS = """mst_free AS (SELECT s, t, w FROM links),
-named AS (SELECT least(a.node, b.node) AS s, greatest(a.node, b.node) AS t, round(w, 6) AS w
-  FROM mst_free l JOIN numbered a ON a.id = l.s JOIN numbered b ON b.id = l.t)"""
-
-
 def _graph(spark, sf, **options):
     rows = clustered(spark, sf)
     return build_graph(
@@ -301,12 +296,26 @@ def build_graph_links(spark, sf):
     return _graph(spark, sf, mst=False, coords="none").links
 
 
-@query("build_graph_nodes")
+@query("build_graph_nodes", _NODE_ROWS, "nodes")
 def build_graph_nodes(spark, sf):
-    return _graph(spark, sf, include_summaries=True).nodes
+    rows = _graph(spark, sf, include_summaries=True, coords="none").nodes
+    return rows.withColumn("aid", F.col("aid").cast("string"))
+
+
+@query("build_graph_placed_nodes")
+def build_graph_placed_nodes(spark, sf):
+    return _graph(spark, sf).nodes
+
+
+_TREE_LINKS = """, named AS (
+  SELECT s, t, w FROM links UNION
+  SELECT src, dst, sim FROM grow WHERE sim >= 0.15
+    AND (src, dst) NOT IN (SELECT (s, t) FROM links))
+SELECT least(a.node, b.node) AS s, greatest(a.node, b.node) AS t, round(w, 6) AS w
+FROM named JOIN numbered a ON a.id = named.s JOIN numbered b ON b.id = named.t"""
 
 
-@query("build_graph_tree_links")
+@query("build_graph_tree_links", ", " + MST + _TREE_LINKS, "nodes links")
 def build_graph_tree_links(spark, sf):
     return _graph(spark, sf, coords="none").links
 

@@ -8,7 +8,7 @@ from ...functions.vectors import cosine, l2_normalize
 from ...operators import clustering, neighbours, ordering, semantic, spanning
 from ...operators import vectors as vec
 from ...sources.tables import update_by_key
-from .base import embeddings, papers, query, seeds, table
+from .base import MST, embeddings, papers, query, seeds, table
 
 TAU = 0.1
 
@@ -223,27 +223,13 @@ def top_k_per_group(spark, sf):
     return best.select("cid", "id", F.round("s", 6).alias("s"))
 
 
-# Grows one tree per cluster, an edge a step: the strongest edge from inside to outside.
-_MST = """start AS (SELECT cid, min(id) AS root FROM unit GROUP BY cid),
-grow AS (
-  SELECT cid, [root] AS seen, CAST(NULL AS BIGINT) AS src, CAST(NULL AS BIGINT) AS dst,
-    CAST(NULL AS DOUBLE) AS sim FROM start
-  UNION ALL
-  SELECT g.cid, list_append(g.seen, b.e.dst), least(b.e.src, b.e.dst), greatest(b.e.src, b.e.dst), b.e.sim
-  FROM grow g JOIN LATERAL (
-    SELECT arg_max({'src': p.src, 'dst': p.dst, 'sim': p.sim}, p.sim) AS e FROM pairs p
-    WHERE p.cid = g.cid AND p.other = g.cid AND list_contains(g.seen, p.src)
-      AND NOT list_contains(g.seen, p.dst)) b ON b.e IS NOT NULL)
-"""
-
-
-@query("cluster_mst", ", " + _MST + "SELECT src, dst, round(sim, 6) AS sim FROM grow WHERE src IS NOT NULL", "pairs")
+@query("cluster_mst", ", " + MST + "SELECT src, dst, round(sim, 6) AS sim FROM grow WHERE src IS NOT NULL", "pairs")
 def cluster_mst(spark, sf):
     rows = spanning.cluster_mst(embeddings(spark, sf), "cid")
     return rows.select("src", "dst", F.round("sim", 6).alias("sim"))
 
 
-@query("cluster_mst_split", ", " + _MST + "SELECT src, dst, round(sim, 6) AS sim FROM grow WHERE src IS NOT NULL", "pairs")
+@query("cluster_mst_split", ", " + MST + "SELECT src, dst, round(sim, 6) AS sim FROM grow WHERE src IS NOT NULL", "pairs")
 def cluster_mst_split(spark, sf):
     """Clusters cut into blocks, block trees merged by rounds of joins."""
     rows = spanning.cluster_mst(embeddings(spark, sf), "cid", block_rows=32)
@@ -294,7 +280,11 @@ def pca_coords(spark, sf):
     return rows.select("paper_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query("embed_missing")
+@query(
+    "embed_missing",
+    """SELECT doc_id AS paper_id, 'specter2' AS model, 64 AS dim FROM documents
+    WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""",
+)
 def embed_missing(spark, sf):
     rows = vec.embed_missing(papers(spark, sf), embeddings(spark, sf), vec.hashed_encoder(64))
     return rows.select("paper_id", "model", "dim")
