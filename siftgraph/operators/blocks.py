@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 BLOCK_ROWS = 2048
 
@@ -60,7 +62,13 @@ def block_cogroup(
         .drop("_nl", "_nr")
     )
     at = [*key, "_l", "_r"]
-    return lefts.groupBy(*at).cogroup(rights.groupBy(*at)).applyInArrow(kernel, schema)
+    empty = to_arrow_schema(T.StructType.fromDDL(schema)).empty_table()
+
+    def pair(a: pa.Table, b: pa.Table) -> pa.Table:
+        # A block that drew no rows still meets the blocks of the other side.
+        return kernel(a, b) if a.num_rows and b.num_rows else empty
+
+    return lefts.groupBy(*at).cogroup(rights.groupBy(*at)).applyInArrow(pair, schema)
 
 
 def matrix(table: pa.Table, name: str) -> np.ndarray:

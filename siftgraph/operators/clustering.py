@@ -272,22 +272,21 @@ def _excess_of_mass(tree: DataFrame) -> DataFrame:
     every cluster whose parts are settled, so there are as many rounds as the tree is high.
     """
     parts = tree.where("outer is not null").groupBy(F.col("outer").alias("r")).count()
-    open_ = cut(tree.join(parts, "r", "left").na.fill(0, ["count"]), "open")
-    settled = cut(
-        open_.where("count = 0").select("r", "outer", F.col("mass").alias("value"), F.col("outer").isNotNull().alias("picked")),
-        "settled",
+    todo = cut(tree.join(parts, "r", "left").na.fill(0, ["count"]), "open")
+    inner_part = F.col("outer").isNotNull()
+    settled = todo.where("count = 0").select(
+        "r", "outer", F.col("mass").alias("value"), inner_part.alias("picked")
     )
-    todo = open_.where("count > 0")
     while True:
-        inner = settled.where("outer is not null").groupBy(F.col("outer").alias("r")).agg(
+        inner = settled.where(inner_part).groupBy(F.col("outer").alias("r")).agg(
             F.sum("value").alias("inner"), F.count(F.lit(1)).alias("done")
         )
         ready = todo.join(settled.select("r"), "r", "left_anti").join(inner, "r")
         ready = ready.where(F.col("done") == F.col("count")).select(
             "r", "outer", F.greatest("mass", "inner").alias("value"),
-            (F.col("outer").isNotNull() & (F.col("inner") <= F.col("mass"))).alias("picked"),
-        )
+            (inner_part & (F.col("inner") <= F.col("mass"))).alias("picked"),
+        )
         ready = cut(ready, "ready")
         if ready.isEmpty():
             return settled
-        settled = cut(settled.unionByName(ready), "settled")
+        settled = settled.unionByName(ready)

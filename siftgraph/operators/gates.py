@@ -15,15 +15,51 @@ from ..functions.fixed import (
 )
 from ..functions.text import any_prefix, assemble_text, domain_tag, words
 
-# i: no case; d: only a line feed ends a line, so "." crosses "\r"; U: Unicode classes and case.
-_FLAGS = "(?idU)"
+# i: no case; d: only a line feed ends a line, so "." crosses "\r".
+_FLAGS = "(?id)"
+# U: Unicode classes and case. It changes nothing on pure ASCII text but costs time there.
+_UNICODE_FLAGS = "(?idU)"
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """The pattern cut at its outermost bars."""
+    parts, depth, start, i = [], 0, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif c in "([":
+            depth += 1
+        elif c in ")]":
+            depth -= 1
+        elif c == "|" and depth == 0:
+            parts.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return [*parts, pattern[start:]]
+
+
+def one_pattern(patterns: Sequence[str]) -> str:
+    """All patterns as one, with a leading word boundary they share tested once per position."""
+    parts = [a for p in patterns for a in _alternatives(p)]
+    at_word = [p[2:] for p in parts if p.startswith(r"\b")]
+    rest = [p for p in parts if not p.startswith(r"\b")]
+    head = [r"\b(?:" + "|".join(at_word) + ")"] if at_word else []
+    return "|".join([*head, *rest])
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, text.rlike(_FLAGS + pattern)).otherwise(
+        text.rlike(_UNICODE_FLAGS + pattern)
+    )
 
 
 def keyword_hit(
     title: Column, summary: Column, patterns: Sequence[str] = KEYWORD_PATTERNS
 ) -> Column:
     """One regex over title, line feed, summary; compiled once per task."""
-    return assemble_text(title, summary, "\n").rlike(_FLAGS + "|".join(patterns))
+    return _matches(assemble_text(title, summary, "\n"), one_pattern(patterns))
 
 
 def category_hit(
@@ -45,7 +81,7 @@ def fallback_hit(
     prefixes: Sequence[str] = POLICY_PREFIXES,
 ) -> Column:
     """The looser pattern, tried only where the keywords missed and the category fits."""
-    loose = assemble_text(title, summary, " ").rlike(_FLAGS + pattern)
+    loose = _matches(assemble_text(title, summary, " "), one_pattern([pattern]))
     return F.when(~keyword & category_hit(categories, exact, prefixes), loose).otherwise(False)
 
 

@@ -40,7 +40,9 @@ def _accents() -> tuple[str, str, str]:
 def fold(text: Column) -> Column:
     """Lower case without accents. Characters that decompose to several letters stay whole."""
     source, target, gone = _accents()
-    return F.translate(F.lower(text), source + gone, target)
+    low = F.lower(text)
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, low).otherwise(F.translate(low, source + gone, target))
 
 
 def tokens(text: Column, stopwords: Sequence[str]) -> Column:
@@ -48,7 +50,6 @@ def tokens(text: Column, stopwords: Sequence[str]) -> Column:
     return F.filter(found, lambda w: ~w.isin(list(stopwords))) if stopwords else found
 
 
-
 def english_stopwords() -> list[str]:
     """The engine's own English list; pass another list where exact parity is needed."""
     return StopWordsRemover.loadDefaultStopWords("english")

@@ -73,16 +73,20 @@ def embed_missing(
     encoder: Encoder,
     model: str = VECTOR_MODEL,
     sep: str = "[SEP]",
+    partitions: int | None = None,
 ) -> DataFrame:
     """Unit vectors for the papers that lack one, ready for ``upsert`` into the table.
 
     ``encoder`` maps batches with the columns id and text to batches with id and vector; it runs
-    once per task, so a model is loaded once per task. Id and text travel in one row.
+    once per task, so a model is loaded once per task. Id and text travel in one row. Encoding
+    costs far more than moving the text, so the rows left to do are spread evenly first, over
+    ``partitions`` or the session's shuffle partitions.
     """
     todo = missing_embeddings(papers, emb, model).select(
         "id", assemble_text(F.col("title"), F.col("summary"), sep).alias("text")
     )
-    encoded = todo.mapInPandas(encoder, schema=f"{_id_field(papers)}, vector array<float>")
+    n = partitions or int(papers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    encoded = todo.repartition(n, "id").mapInPandas(encoder, schema=f"{_id_field(papers)}, vector array<float>")
     return as_embeddings(encoded, model)
 
 

@@ -236,7 +236,8 @@ def _landed(spark, sf):
     rows = table(spark, sf, "orders").select(
         header.alias("header"), F.struct(body.alias("arXiv")).alias("metadata")
     )
-    rows.write.format("xml").option("rowTag", "record").option("rootTag", "ListRecords").save(path)
+    pages = rows.repartition(8)
+    pages.write.format("xml").option("rowTag", "record").option("rootTag", "ListRecords").save(path)
     return path
 
 
