@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from siftgraph.plans.catalog import QUERIES
-from siftgraph.session import local_session
+from siftgraph.session import local_session, release
 
 # One or more of every stage: ingest, gates, upsert, vectors, neighbours, tree, clusters,
 # terms, labels, graph, search, layout, export.
@@ -18,7 +18,7 @@ HEADLINE = [
     "harvest_records",
     "ingest",
     "keyword_gate",
-    "default_patterns",
+    "keyword_gate_full",
     "stage1",
     "latest_per_key",
     "upsert_full",
@@ -65,6 +65,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        release(spark)
     total = round(sum(times.values()), 3)
     line = {"metric": "headline_total", "value": total, "unit": "sec", "queries": times, "sf": sf}
     print(json.dumps(line), flush=True)

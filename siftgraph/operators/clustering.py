@@ -68,7 +68,7 @@ def kmeans_centers(
     n_init: int = 10,
     max_iter: int = 300,
     vec_col: str = "vector",
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> np.ndarray:
     """Centres of the run with the least inertia; the runs share the cluster, as in tuning."""
     rows = cut(emb.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("v")), "km")

@@ -13,6 +13,7 @@ from ..functions.fixed import NORM_EPS
 from ..functions.vectors import dot, l2_normalize
 from ..session import cut
 from .blocks import BLOCK_ROWS, array_of, block_cogroup, codes, matrix, unit_rows
+from .joins import hot_split_join
 
 # Similarities are compared at this precision and ties go to the smaller id, so that the last
 # bits of a matrix product, which depend on the block, never decide a rank.
@@ -26,11 +27,14 @@ def distinct_vectors(points: DataFrame, keep: int) -> DataFrame:
     """Collapse exact copies: one row per (grp, vec) with its ``keep`` smallest ids.
 
     A vector shared by a third of all rows costs ``keep`` rows per map task here and takes part
-    in the pairing as a single row.
+    in the pairing as a single row. The hash comes first in the sort, so whole vectors are
+    compared only where hashes are equal.
     """
-    w = Window.partitionBy("grp", "vec").orderBy("id")
-    first = points.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep)
-    return first.groupBy("grp", "vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(
+    same = ["_h", "grp", "vec"]
+    w = Window.partitionBy(*same).orderBy("id")
+    hashed = points.withColumn("_h", F.xxhash64("vec"))
+    first = hashed.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep)
+    return first.groupBy(*same).agg(F.sort_array(F.collect_list("id")).alias("ids")).select(
         F.col("ids")[0].alias("rid"), "grp", "vec", "ids"
     )
 
@@ -39,16 +43,19 @@ def copies(points: DataFrame, distinct: DataFrame, keep: int) -> DataFrame:
     """(id, rid) of every row that shares its vector with others, the representative included.
 
     Only vectors whose id list is full can have more members than listed; only those go back to
-    the points. That side has one row per vector, so a hot vector is split by the adaptive join.
+    the points, and the hot ones among them are split.
     """
     listed = distinct.where(F.size("ids") > 1).select(F.explode("ids").alias("id"), "rid")
     full = distinct.where(F.size("ids") >= keep).select(
-        "grp", "vec", "rid", F.element_at("ids", -1).alias("_last")
+        "grp", "vec", "rid", F.element_at("ids", -1).alias("_last"), F.xxhash64("vec").alias("_h")
     )
     if full.isEmpty():
         return listed
-    rest = points.join(full, ["grp", "vec"]).where(F.col("id") > F.col("_last"))
-    return listed.unionByName(rest.select("id", "rid"))
+    # Rows per hash: colliding vectors only make a key look larger than it is.
+    rows = points.groupBy("grp", F.xxhash64("vec").alias("_h")).agg(F.count(F.lit(1)).alias("_rows"))
+    counted = cut(full.join(rows, ["grp", "_h"]).drop("_h"), "full")
+    rest = hot_split_join(points, counted, ["grp", "vec"], "_rows", "id")
+    return listed.unionByName(rest.where(F.col("id") > F.col("_last")).select("id", "rid"))
 
 
 def points_of(emb: DataFrame, id_col: str, vec_col: str, within: str | None) -> DataFrame:
@@ -57,25 +64,36 @@ def points_of(emb: DataFrame, id_col: str, vec_col: str, within: str | None) ->
     return rows.where(F.col("vec").isNotNull() & F.col("grp").isNotNull())
 
 
-def _pivots(distinct: DataFrame, block_rows: int, max_pivots: int) -> np.ndarray | None:
-    """Pivot vectors, drawn by hash order; about one per block, at most ``max_pivots``."""
-    wanted = min(max_pivots, math.ceil(distinct.count() / block_rows))
-    if wanted <= 1:
+def _pivots(distinct: DataFrame, large: DataFrame, block_rows: int, most: int) -> np.ndarray | None:
+    """Pivot vectors, drawn by hash order: about one per block of the largest group."""
+    rows = large.agg(F.max("n")).first()[0]
+    if rows is None:
         return None
-    rows = distinct.orderBy(F.xxhash64("rid")).limit(wanted).select("vec").toArrow()
-    return unit_rows(matrix(rows, "vec"), NORM_EPS)
+    wanted = min(most, math.ceil(rows / block_rows))
+    drawn = distinct.orderBy(F.xxhash64("rid")).limit(wanted).select("vec").toArrow()
+    return unit_rows(matrix(drawn, "vec"), NORM_EPS)
 
 
-def _route(distinct: DataFrame, pivots: np.ndarray | None, min_sim: float) -> DataFrame:
+def large_groups(distinct: DataFrame, block_rows: int) -> DataFrame:
+    """grp, n of the groups that do not fit one block."""
+    sizes = distinct.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    return cut(sizes.where(F.col("n") > block_rows), "large")
+
+
+def _route(
+    distinct: DataFrame, large: DataFrame, pivots: np.ndarray | None, min_sim: float
+) -> DataFrame:
     """Send each vector to its own cell and to every cell that could hold a match.
 
     A cell is the set of vectors nearest to one pivot. If u lies in cell j and v in cell h, the
     segment between them crosses the bisector of the two pivots, so v can only match in cell j
     when its distance to that bisector is within the search radius. Nothing is lost; a strict
-    threshold on clustered data prunes most cells, a loose one on noise prunes none.
+    threshold on clustered data prunes most cells, a loose one on noise prunes none. Groups that
+    fit one block are left whole.
     """
     if pivots is None:
         return distinct.withColumns({"cell": F.lit(0), "home": F.lit(True)})
+    marked = distinct.join(large.select("grp", F.lit(True).alias("large")), "grp", "left")
     reach = math.sqrt(max(0.0, 2.0 - 2.0 * min_sim))
     spacing = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * pivots @ pivots.T))
     shared = distinct.sparkSession.sparkContext.broadcast((pivots, spacing))
@@ -91,6 +109,9 @@ def _route(distinct: DataFrame, pivots: np.ndarray | None, min_sim: float) -> Da
             home = d2.argmin(axis=1)
             at_home = d2[np.arange(len(v)), home][:, None]
             near = d2 - at_home <= 2.0 * (reach + 1e-6) * gap[home] + 1e-6
+            fits = table.column("large").is_null().to_numpy(zero_copy_only=False)
+            home[fits] = 0
+            near[fits] = False
             near[np.arange(len(v)), home] = True
             row, cell = np.nonzero(near)
             out = table.take(pa.array(row))
@@ -98,7 +119,8 @@ def _route(distinct: DataFrame, pivots: np.ndarray | None, min_sim: float) -> Da
             out = out.append_column("home", pa.array(cell == home[row]))
             yield from out.to_batches()
 
-    return distinct.mapInArrow(cells, f"{_fields(distinct)}, cell int, home boolean")
+    routed = marked.mapInArrow(cells, f"{_fields(marked)}, cell int, home boolean")
+    return routed.drop("large")
 
 
 def _top_kernel(k: int, min_sim: float, skip_self: bool = True):
@@ -158,8 +180,9 @@ def knn_join(
     """
     points = points_of(emb, id_col, vec_col, within)
     distinct = cut(distinct_vectors(points, k + 1), "vectors")
-    pivots = _pivots(distinct, block_rows, max_pivots)
-    routed = _route(distinct, pivots, min_sim)
+    large = large_groups(distinct, block_rows)
+    pivots = _pivots(distinct, large, block_rows, max_pivots)
+    routed = _route(distinct, large, pivots, min_sim)
     if pivots is not None:
         routed = cut(routed, "routed")
     return _match(points, distinct, routed, k, min_sim, block_rows, repeats=False)
@@ -273,9 +296,13 @@ def _expand(
     near = F.flatten(F.transform("_near", lambda n: entries(n["sim"], n["ids"])))
     ranked = F.slice(F.array_sort(F.concat(_or_empty(own, near), _or_empty(near, own))), 1, k + 1)
     lists = cut(base.select("rid", (F.size("ids") > 1).alias("_dup"), ranked.alias("_l")), "lists")
-    members = copies(points, distinct, k + 1)
+    members = cut(copies(points, distinct, k + 1), "copies")
+    counted = lists.where("_dup").join(
+        members.groupBy("rid").agg(F.count(F.lit(1)).alias("_rows")), "rid"
+    )
     single = lists.where(~F.col("_dup")).select(F.col("rid").alias("src"), "_l")
-    double = lists.where("_dup").join(members, "rid").select(F.col("id").alias("src"), "_l")
+    double = hot_split_join(members, counted, ["rid"], "_rows", "id")
+    double = double.select(F.col("id").alias("src"), "_l")
     return (
         single.unionByName(double)
         .select("src", F.expr("slice(filter(_l, e -> e.dst != src), 1, {})".format(k)).alias("_l"))

@@ -11,28 +11,42 @@ from ..session import cut
 from .joins import hot_split_join
 
 
-def number_rows(df: DataFrame, order: Sequence[Column], name: str = "idx") -> DataFrame:
-    """0-based position of each row in a total order, with no single-partition window.
+def _placed(df: DataFrame, order: Sequence[Column], weight: Column) -> DataFrame:
+    """Sorted rows with their sort partition ``_p``, place in it ``_m`` and ``_off``, the weight
+    of all partitions before.
 
     A range sort spreads any run of equal leading keys over partitions. The sorted rows are
-    written once, so the counts and the final numbers see the same partitions; what is broadcast
+    written once, so the sums and the final numbers see the same partitions; what is broadcast
     is one row per sort partition.
     """
-    placed = cut(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), "sorted")
-    part = F.shiftrightunsigned(F.col("_m"), 33)
+    sorted_ = cut(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()), "sorted")
+    rows = sorted_.withColumn("_p", F.shiftrightunsigned(F.col("_m"), 33))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        placed.groupBy(part.alias("_p"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        rows.groupBy("_p")
+        .agg(F.sum(weight).alias("_n"))
         .select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     )
+    return rows.join(F.broadcast(offsets), "_p")
+
+
+def number_rows(df: DataFrame, order: Sequence[Column], name: str = "idx") -> DataFrame:
+    """0-based position of each row in a total order, with no single-partition window."""
     local = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        placed.withColumn("_p", part)
-        .join(F.broadcast(offsets), "_p")
-        .withColumn(name, F.col("_off") + local)
-        .drop("_p", "_off", "_m")
-    )
+    rows = _placed(df, order, F.lit(1)).withColumn(name, F.col("_off") + local)
+    return rows.drop("_p", "_off", "_m")
+
+
+def running_total(
+    df: DataFrame, order: Sequence[Column], weight: str, name: str = "upto"
+) -> DataFrame:
+    """Sum of ``weight`` over the rows up to and including each, in a total order.
+
+    The window runs inside one sort partition at a time.
+    """
+    upto = F.sum(weight).over(Window.partitionBy("_p").orderBy("_m"))
+    rows = _placed(df, order, F.col(weight)).withColumn(name, F.col("_off") + upto)
+    return rows.drop("_p", "_off", "_m")
 
 
 def rank_within(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import VECTOR_MODEL
 from ..functions.vectors import dot, l2_normalize
-from .ordering import number_rows
+from .ordering import running_total
 from .vectors import centroid, seed_vectors, vector_or_null, vectors_for
 
 DEFAULT_TAU = 0.38
@@ -85,7 +85,7 @@ def classifier_filter(
 def similarity_stats(scored: DataFrame, score: str = "ai_sem_sim", exact: bool = True) -> DataFrame:
     """min, p10, median, p90, max with linear interpolation.
 
-    The exact form sorts the one column over all tasks and reads six positions of it; the
+    The exact form counts equal values, sorts them over all tasks and reads six positions; the
     built-in exact percentile would hold every distinct value in one task.
     """
     sims = scored.where(F.col(score).isNotNull()).select(F.col(score).alias("s"))
@@ -95,12 +95,15 @@ def similarity_stats(scored: DataFrame, score: str = "ai_sem_sim", exact: bool =
             F.min("s").alias("min"), q[0].alias("p10"), q[1].alias("median"), q[2].alias("p90"),
             F.max("s").alias("max"),
         )
-    placed = number_rows(sims, [F.col("s")])
-    last = placed.agg(F.max("idx")).scalar()
+    values = sims.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    placed = running_total(values, [F.col("s")], "n")
+    last = placed.agg(F.max("upto") - 1).scalar()
     spots = {"p10": 0.1, "median": 0.5, "p90": 0.9}
 
     def at(p: float, side) -> Column:
-        return F.max(F.when(F.col("idx") == side(F.lit(p) * F.col("_last")), F.col("s")))
+        spot = side(F.lit(p) * F.col("_last"))
+        holds = (spot < F.col("upto")) & (spot >= F.col("upto") - F.col("n"))
+        return F.max(F.when(holds, F.col("s")))
 
     measures = [F.min("s").alias("min"), F.max("s").alias("max"), F.max("_last").alias("_last")]
     for name, p in spots.items():

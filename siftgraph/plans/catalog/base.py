@@ -168,7 +168,7 @@ nodes AS (
       + 1.5 * ((length(lower(dm)) - length(replace(lower(dm), q, ''))) // length(q))
       + 1.0 * ((length(lower(sm)) - length(replace(lower(sm), q, ''))) // length(q)))) AS base
   FROM nodes n JOIN degrees d USING (id)),
-hits AS (SELECT id, cid, deg, base + least(deg, 50) * 0.02 AS score FROM counted WHERE base > 0)""",
+hits AS (SELECT id, cid, deg, CAST(base AS DOUBLE) + CAST(least(deg, 50) * 0.02 AS DOUBLE) AS score FROM counted WHERE base > 0)""",
     ),
     "terms": (
         "clustered",

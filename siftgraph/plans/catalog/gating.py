@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions import text as tx
+from ...functions.fixed import KEYWORD_PATTERNS
 from ...operators import gates
 from .base import clustered, papers, query, table
 
@@ -81,17 +82,21 @@ def stage1_keep_all(spark, sf):
     return _stage1(spark, sf, True)
 
 
+_ALL = "|".join(KEYWORD_PATTERNS)
+
+
 @query(
-    "default_patterns",
-    r"""SELECT count(*) AS docs, count(*) FILTER (WHERE regexp_matches(title || chr(10) || summary,
-      '(?i)\b(AI safety|AI alignment|value alignment|AI security|model cards?|system cards?)\b')) AS narrow
-    FROM papers""",
+    "keyword_gate_full",
+    f"""SELECT lang, count(*) AS docs, count(*) FILTER (WHERE regexp_matches(
+      title || chr(10) || summary, '(?i){_ALL}')) AS hits FROM papers GROUP BY lang""",
     "papers",
 )
-def default_patterns(spark, sf):
-    """The full fixed pattern list over whole texts; the invented prose holds none of its words."""
+def keyword_gate_full(spark, sf):
+    """The full fixed pattern list over whole texts."""
     hit = gates.keyword_hit(F.col("title"), F.col("summary"))
-    return papers(spark, sf).agg(F.count(F.lit(1)).alias("docs"), F.count_if(hit).alias("narrow"))
+    return papers(spark, sf).groupBy(F.substring("categories", 6, 2).alias("lang")).agg(
+        F.count(F.lit(1)).alias("docs"), F.count_if(hit).alias("hits")
+    )
 
 
 @query("kept", "SELECT id, cid FROM clustered", "clustered")

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_root: str | None = None
+_written: list[str] = []
 
 
 def local_session(app: str = "siftgraph", cores: str = "8", memory: str = "16g") -> SparkSession:
@@ -46,6 +47,20 @@ def scratch_root(spark: SparkSession) -> str:
     return _own_root
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this session; results not yet written are lost.
+
+    Returns how many were deleted. On a cluster call it once a run's results are stored.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    for written in _written:
+        path(written).getFileSystem(conf).delete(path(written), True)
+    n = len(_written)
+    _written.clear()
+    return n
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -57,5 +72,6 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     gives the planner true sizes, so a small result is broadcast only when its files are small.
     """
     path = scratch_path(df.sparkSession, name)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
