@@ -11,7 +11,6 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +21,7 @@ from .blocks import matrix
 from .neighbours import knn_join, points_of
 from .ordering import number_rows
 from .spanning import connected_components, jump_to_roots, reachability_mst
+from .vectors import vector_sums
 
 
 def pca(emb: DataFrame, d: int, id_col: str = "paper_id", vec_col: str = "vector") -> DataFrame:
@@ -35,7 +35,8 @@ def pca(emb: DataFrame, d: int, id_col: str = "paper_id", vec_col: str = "vector
     loadings = model.pc.toArray()
     signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])])
     signs[signs == 0] = 1.0
-    mean = rows.agg(Summarizer.mean(F.col("v")).alias("m")).first()["m"].toArray()
+    sums = vector_sums(rows, [], vector_to_array("v")).first()
+    mean = np.array(sums["total"]) / sums["n"]
     shift = (mean @ loadings).tolist()
     sign = F.array(*[F.lit(float(s)) for s in signs])
     offset = F.array(*[F.lit(float(s)) for s in shift])
@@ -142,10 +143,8 @@ def ward(
         centers = kmeans_centers(rows, micro, seed, 1, max_iter=20, vec_col="v")
         placed = assign_nearest(rows, centers, "v", "m")
     placed = cut(placed.withColumn("m", F.col("m").cast("long")), "micro")
-    table = placed.groupBy("m").agg(
-        F.count(F.lit(1)).alias("n"), Summarizer.mean(array_to_vector("v")).alias("c")
-    )
-    table = table.select("m", "n", vector_to_array("c").alias("c"))
+    table = vector_sums(placed, ["m"], F.col("v"))
+    table = table.select("m", "n", F.transform("total", lambda x: x / F.col("n")).alias("c"))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("m")

@@ -16,7 +16,8 @@ def hot_split_join(
 
     A key with more than its fair share of rows (all rows over all shuffle partitions) is split
     into as many salted parts as it has shares. Fewer keys than there are partitions can be over
-    the share, which bounds what is broadcast and how far the counted side grows.
+    the share, which bounds what is broadcast and how far the counted side grows. ``counted`` is
+    read three times, so it should be a written table.
     """
     keys = list(keys)
     shares = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))

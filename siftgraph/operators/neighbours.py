@@ -300,6 +300,7 @@ def _expand(
     counted = lists.where("_dup").join(
         members.groupBy("rid").agg(F.count(F.lit(1)).alias("_rows")), "rid"
     )
+    counted = cut(counted, "copied")
     single = lists.where(~F.col("_dup")).select(F.col("rid").alias("src"), "_l")
     double = hot_split_join(members, counted, ["rid"], "_rows", "id")
     double = double.select(F.col("id").alias("src"), "_l")

@@ -61,6 +61,7 @@ def rank_within(
     first = placed.groupBy(*keys).agg(
         F.min("_g").alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
+    first = cut(first, "firsts")
     return (
         hot_split_join(placed, first, keys, "_rows", "_g")
         .withColumn(name, F.col("_g") - F.col("_first"))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import VECTOR_MODEL
@@ -53,15 +53,31 @@ def seed_vectors(seeds: DataFrame, emb: DataFrame, model: str | None = VECTOR_MO
     return found
 
 
-def centroid(vectors: DataFrame, by: Sequence[str] = (), vector: str = "vector") -> DataFrame:
-    """Mean of the unit vectors, made a unit vector again; overall or per group.
+# Partial sums of a group meet in this many tasks before the last one adds them up.
+_FAN_IN = 64
+
 
-    The summarizer combines on the map side, so what is shuffled is one running mean per task
-    and group, whatever the group's size; no row is exploded into dimensions.
+def vector_sums(vectors: DataFrame, by: Sequence[str], vector: Column) -> DataFrame:
+    """by, n, total: rows and elementwise sum per group; ``vector`` is an array of doubles.
+
+    Summing happens on the map side, then in up to 64 tasks per group, then in one, so neither a
+    group's size nor the number of map tasks falls on a single task. No row is exploded.
     """
-    unit = array_to_vector(l2_normalize(F.col(vector)))
-    mean = vectors.groupBy(*by).agg(Summarizer.mean(unit).alias("_mean"))
-    return mean.select(*by, l2_normalize(vector_to_array("_mean")).alias("centroid"))
+    part = F.pmod(F.spark_partition_id(), F.lit(_FAN_IN))
+    rows = vectors.select(*by, part.alias("_part"), array_to_vector(vector).alias("_v"))
+    partial = rows.groupBy(*by, "_part").agg(
+        F.count(F.lit(1)).alias("_n"), Summarizer.sum(F.col("_v")).alias("_v")
+    )
+    return partial.groupBy(*by).agg(
+        F.sum("_n").alias("n"), vector_to_array(Summarizer.sum(F.col("_v"))).alias("total")
+    )
+
+
+def centroid(vectors: DataFrame, by: Sequence[str] = (), vector: str = "vector") -> DataFrame:
+    """Mean of the unit vectors, made a unit vector again; overall or per group."""
+    sums = vector_sums(vectors, by, l2_normalize(F.col(vector)))
+    mean = F.transform("total", lambda x: x / F.col("n"))
+    return sums.select(*by, l2_normalize(mean).alias("centroid"))
 
 
 Encoder = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ...functions.fixed import ABSTRACT_URL
+from ...operators.vectors import hashed_encoder
 from ...session import scratch_path
 from ...sources import files, tables
 from ...sources.records import project_record, read_records, valid_records
 from ...streaming.ingest import ingest
+from ..stages import CorpusStages
 from .base import embeddings, papers, query, seeds, table
+from .gating import EXACT, FALLBACK, PATTERNS, PREFIXES
 
 ORDER = ["ts", "event_id"]
 
@@ -268,3 +272,31 @@ def ingest_stream(spark, sf):
     for _ in range(2):
         rows = ingest(spark, landing, target, checkpoint, "1995-01-01", "1999-12-31")
     return rows.select(*_FIELDS)
+
+
+@query("all_stages")
+def all_stages(spark, sf):
+    """Documents as harvested pages, through every stage to labelled clusters."""
+    landing, root = scratch_path(spark, "landing"), scratch_path(spark, "stages")
+    docs = papers(spark, sf)
+    body = F.struct(
+        F.col("id").cast("string").alias("id"),
+        F.col("published").alias("created"),
+        "title",
+        F.col("summary").alias("abstract"),
+        "categories",
+    )
+    header = F.struct(F.concat(F.lit("oai:"), "id").alias("identifier"), F.col("published").alias("datestamp"))
+    pages = docs.select(header.alias("header"), F.struct(body.alias("arXiv")).alias("metadata"))
+    pages = pages.repartition(8)
+    pages.write.format("xml").option("rowTag", "record").option("rootTag", "ListRecords").save(landing)
+    stages = CorpusStages(spark, root, hashed_encoder(64))
+    stages.harvest(landing)
+    stages.stage1(patterns=PATTERNS, fallback=FALLBACK, exact=EXACT, prefixes=PREFIXES)
+    stages.embed()
+    named = F.concat(F.lit(ABSTRACT_URL), F.col("id").cast("string"))
+    stages.filter(seeds(spark, sf).select(named.alias("id")), tau=0.2)
+    stages.cluster(kmeans=4, agg=4)
+    stages.label(ngram_range=(1, 2), cosine_floor=0.1)
+    stages.export_graph(f"{root}/graph", min_sim=0.6)
+    return stages.labels.read().select("method", "cluster_id", "label", "confidence")

@@ -17,11 +17,11 @@ RECORD = (
 
 
 def read_records(
-    spark: SparkSession, path: str, streaming: bool = False, files_per_batch: int = 1000
+    spark: SparkSession, path: str, streaming: bool = False, files_per_batch: int | None = None
 ) -> DataFrame:
     """One row per ``record`` element, with where and when its page landed."""
     reader = (spark.readStream if streaming else spark.read).format("xml")
-    if streaming:
+    if streaming and files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return (
         reader.option("rowTag", "record")

@@ -18,7 +18,7 @@ def flat_records(
     streaming: bool = False,
     from_date: str | None = None,
     until_date: str | None = None,
-    files_per_batch: int = 1000,
+    files_per_batch: int | None = None,
 ) -> DataFrame:
     records = read_records(spark, landing, streaming, files_per_batch)
     rows = project_record(valid_records(records))
@@ -32,13 +32,14 @@ def ingest(
     checkpoint: str,
     from_date: str | None = None,
     until_date: str | None = None,
-    files_per_batch: int = 1000,
+    files_per_batch: int | None = None,
 ) -> DataFrame:
     """Merge every page not seen before into the table at ``target`` and return the table.
 
     The stream's checkpoint is the harvest state: it moves on only after a batch is committed.
     A batch replayed after a failure changes nothing, since rows replace by id. The dates bound
-    a run; left out, a run takes all that has landed since the last one.
+    a run; left out, a run takes all that has landed since the last one. By default that is one
+    batch, so the table is merged once a run; ``files_per_batch`` splits a large backlog.
     """
     table = SnapshotTable(spark, target, PAPERS_RAW)
 
