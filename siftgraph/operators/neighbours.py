@@ -21,6 +21,8 @@ TIE_PLACES = 9
 # Upper bound on pivots: at 768 dimensions 4096 of them are 25 MB, which is what is broadcast.
 MAX_PIVOTS = 4096
 _STRIP = 512
+# Below any cosine: marks a row paired with itself.
+_NEVER = -9.0
 
 
 def distinct_vectors(points: DataFrame, keep: int) -> DataFrame:
@@ -129,20 +131,25 @@ def _top_kernel(k: int, min_sim: float, skip_self: bool = True):
         a = unit_rows(matrix(left, "vec"), NORM_EPS)
         b = unit_rows(matrix(right, "vec"), NORM_EPS)
         here, there = codes(src, dst) if skip_self else (None, codes(dst, dst)[0])
+        slack = 2 * 10.0**-TIE_PLACES
         rows, cols, sims = [], [], []
         for start in range(0, len(a), _STRIP):
-            s = np.round(a[start : start + _STRIP] @ b.T, 12)
+            s = a[start : start + _STRIP] @ b.T
             if skip_self:
-                s[here[start : start + _STRIP, None] == there[None, :]] = -np.inf
-            kth = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])]
-            floor = np.maximum(kth - 10.0**-TIE_PLACES, min_sim)
-            r, c = np.nonzero((s >= floor[:, None]) & np.isfinite(s))
-            order = np.lexsort((there[c], -np.round(s[r, c], TIE_PLACES), r))
-            r, c = r[order], c[order]
+                s[here[start : start + _STRIP, None] == there[None, :]] = _NEVER
+            r, c = np.nonzero(s >= min_sim - slack)
+            if len(r) > 8 * k * len(s) and k < s.shape[1]:
+                # A loose threshold: drop what is clearly below the k-th of its row.
+                kth = np.partition(s, -k, axis=1)[:, -k]
+                r, c = np.nonzero(s >= np.maximum(kth, min_sim)[:, None] - slack)
+            found = np.round(s[r, c], 12)
+            order = np.lexsort((there[c], -np.round(found, TIE_PLACES), r))
+            order = order[found[order] >= min_sim]
+            r, c, found = r[order], c[order], found[order]
             best = np.arange(len(r)) - np.searchsorted(r, r) < k
             rows.append(r[best] + start)
             cols.append(c[best])
-            sims.append(s[r[best], c[best]])
+            sims.append(found[best])
         r, c = np.concatenate(rows), np.concatenate(cols)
         return pa.table(
             {

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ...sources.tables import read_table
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -33,7 +35,7 @@ def papers(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as papers: first line as title, the rest as summary."""
     cut = F.instr("text", "\n")
     day = F.date_add(F.to_date(F.lit("2020-01-01")), (F.col("n_chars") % 1500).cast("int"))
-    return table(spark, sf, "documents").select(
+    return read_table(spark, f"{sf}/documents.parquet", spread=True).select(
         F.col("doc_id").alias("id"),
         F.substring_index("text", "\n", 1).alias("title"),
         F.when(cut > 0, F.expr("substring(text, instr(text, '\n') + 1)")).otherwise("").alias("summary"),

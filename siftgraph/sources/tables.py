@@ -27,13 +27,23 @@ CLUSTER_META = (
 
 
 def read_table(
-    spark: SparkSession, path: str, columns: Sequence[str] | None = None, where: Column | None = None
+    spark: SparkSession,
+    path: str,
+    columns: Sequence[str] | None = None,
+    where: Column | None = None,
+    spread: bool = False,
 ) -> DataFrame:
-    """Parquet scan; the filter and the column list reach the reader."""
+    """Parquet scan; the filter and the column list reach the reader.
+
+    ``spread`` is for scans that feed heavy work per row: a table with fewer splits than the
+    cluster has cores is dealt out evenly. A large table has more splits and is left alone.
+    """
     df = spark.read.parquet(path)
     if where is not None:
         df = df.where(where)
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def ensure_columns(df: DataFrame, schema: T.StructType | str) -> DataFrame:
