@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 4096
 
 
 def block_cogroup(

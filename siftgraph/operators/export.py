@@ -126,26 +126,39 @@ def summary_rows(
     return filled.select(*columns)
 
 
-def summary_aliases(summaries: DataFrame, order: str = "url") -> DataFrame:
-    """Each summary under its canonical key and its canonical link; the later entry wins."""
-    fields = F.struct(*[c for c in summaries.columns])
-    rows = summaries.select("url", F.col("ln"), F.col(order).alias("_o"), fields.alias("summary"))
-    by_key = rows.select(canonical_url(F.col("url")).alias("key"), "_o", F.lit(0).alias("_k"), "summary")
+def _alias_keys(summaries: DataFrame, order: str) -> DataFrame:
+    """key, url: which summary each canonical key or link stands for; the later entry wins."""
+    rows = summaries.select("url", "ln", F.col(order).alias("_o"))
+    by_key = rows.select(canonical_url(F.col("url")).alias("key"), "url", "_o", F.lit(0).alias("_k"))
     by_link = rows.where(F.col("ln") != "").select(
-        canonical_url(F.col("ln")).alias("key"), "_o", F.lit(1).alias("_k"), "summary"
+        canonical_url(F.col("ln")).alias("key"), "url", "_o", F.lit(1).alias("_k")
     )
     both = by_key.unionByName(by_link)
-    return latest_per_key(both, ["key"], [F.col("_o"), F.col("_k")]).select("key", "summary")
+    return latest_per_key(both, ["key"], [F.col("_o"), F.col("_k")]).select("key", "url")
+
+
+def summary_aliases(summaries: DataFrame, order: str = "url") -> DataFrame:
+    """key, summary: each summary under its canonical key and its canonical link."""
+    fields = F.struct(*summaries.columns).alias("summary")
+    # Keys are settled without the texts, which move once.
+    return _alias_keys(summaries, order).join(summaries.select("url", fields), "url").drop("url")
 
 
 def lookup_summary(
-    urls: DataFrame, summaries: DataFrame, url: str = "url", own: str | None = None
+    urls: DataFrame,
+    summaries: DataFrame,
+    url: str = "url",
+    own: str | None = None,
+    order: str = "url",
 ) -> DataFrame:
     """Add the summary found under each URL's canonical form, as column ``found`` (NULL if none).
 
     With ``own``, column ``sm`` is the found text or else the row's own.
     """
-    table = summary_aliases(summaries).withColumnRenamed("summary", "found")
-    keyed = urls.withColumn("key", canonical_url(F.nullif(F.col(url), F.lit(""))))
-    joined = keyed.join(table, "key", "left").drop("key")
+    known = _alias_keys(summaries, order).withColumnRenamed("url", "_of")
+    fields = F.struct(*summaries.columns).alias("found")
+    keyed = urls.withColumn("_key", canonical_url(F.nullif(F.col(url), F.lit(""))))
+    named = keyed.join(known.withColumnRenamed("key", "_key"), "_key", "left")
+    texts = summaries.select(F.col("url").alias("_of"), fields)
+    joined = named.join(texts, "_of", "left").drop("_of", "_key")
     return joined if own is None else joined.withColumn("sm", F.coalesce("found.sm", own))

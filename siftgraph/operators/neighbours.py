@@ -67,12 +67,20 @@ def points_of(emb: DataFrame, id_col: str, vec_col: str, within: str | None) ->
 
 
 def _pivots(distinct: DataFrame, large: DataFrame, block_rows: int, most: int) -> np.ndarray | None:
-    """Pivot vectors, drawn by hash order: about one per block of the largest group."""
+    """Pivot vectors, drawn by hash order: about one per block of the largest group.
+
+    A hash filter first leaves a few times as many rows as wanted, so the final order and cut
+    see little however many partitions there are.
+    """
     rows = large.agg(F.max("n")).first()[0]
     if rows is None:
         return None
     wanted = min(most, math.ceil(rows / block_rows))
-    drawn = distinct.orderBy(F.xxhash64("rid")).limit(wanted).select("vec").toArrow()
+    every = max(1, distinct.count() // (4 * wanted))
+    some = distinct.where(F.pmod(F.xxhash64("rid"), F.lit(every)) == 0)
+    drawn = some.orderBy(F.xxhash64("rid", F.lit(1))).limit(wanted).select("vec").toArrow()
+    if not drawn.num_rows:
+        return None
     return unit_rows(matrix(drawn, "vec"), NORM_EPS)
 
 

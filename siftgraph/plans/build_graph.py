@@ -41,7 +41,9 @@ def numbered_papers(
         raise ValueError(f"{missing} papers have no vector; embed first")
     vectors = for_model(emb, model).select(F.col("paper_id").alias("id"), "vector")
     columns = ["id", "title", "authors", "published", "summary", "link", "domain_tag", "cid"]
-    return cut(dense_node_id(rows.select(*columns)).join(vectors, "id"), "numbered")
+    # Only the sort columns go through the sort; texts and vectors move once, by id.
+    numbers = dense_node_id(rows.select("id", "cid", "published")).select("id", "node")
+    return cut(rows.select(*columns).join(numbers, "id").join(vectors, "id"), "numbered")
 
 
 def graph_edges(

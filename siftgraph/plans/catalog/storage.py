@@ -190,7 +190,7 @@ def cascade(spark, sf):
     "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01' AND l_returnflag = 'R'",
 )
 def read_table(spark, sf):
-    where = (F.col("l_shipdate") >= F.lit("2000-01-01").cast("timestamp")) & (
+    where = (F.col("l_shipdate") >= F.lit("2000-01-01").cast("timestamp_ntz")) & (
         F.col("l_returnflag") == "R"
     )
     columns = ["l_orderkey", "l_linenumber", "l_quantity"]
