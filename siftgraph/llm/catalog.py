@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_warc, crf_langid, exact_dedup, gru_toxicity, merge_dropout, mixing, pivot_topk, token_arrow
+from . import arc_warc, crf_langid, exact_dedup, gru_toxicity, merge_dropout, mixing, pivot_topk, suffix_dedup, token_arrow, trie_join
 from .common import hash_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_suffix_dedup")
+def _suffixes(spark, sf):
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents"))
+
+
 @query("op2_warc_from_arc", arc_warc.SQL)
 def _warc(spark, sf):
     return arc_warc.round_trip(spark, table(spark, sf, "pages"))
@@ -45,6 +50,11 @@ def _tokens(spark, sf):
     return token_arrow.token_files(spark, table(spark, sf, "documents"), path)
 
 
+@query("op5_ngram_join")
+def _near(spark, sf):
+    return trie_join.near_groups(table(spark, sf, "documents"))
+
+
 @query("op6_pivot_top_k", pivot_topk.SQL)
 def _top_k(spark, sf):
     return pivot_topk.pivot_top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)

@@ -38,6 +38,7 @@ def _digest_state(rows: DataFrame, bytes_per_batch: str | None) -> DataFrame:
     settings = {
         f"{STATE}providerClass": PROVIDER,
         f"{STATE}rocksdb.boundedMemoryUsage": "true",
+        f"{STATE}rocksdb.allowFAllocate": "false",  # else each partition takes megabytes ahead
     }
     before = {k: spark.conf.get(k, None) for k in settings}
     checkpoint = scratch_path(spark, "dedup-state")

@@ -261,3 +261,15 @@ def toxicity(docs: DataFrame, net: Network, least: float = 0.7) -> DataFrame:
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return spread(slim).mapInArrow(scan, "doc_id long, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, net: Network, least: float = 0.7) -> DataFrame:
+    """``docs`` without the texts whose score is ``least`` or more; columns as they came."""
+    names, schema = docs.columns, docs.schema
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=4 << 20):
+            fine = score_texts(net, batch.column("text"))[0] < least
+            yield batch.filter(pa.array(fine))
+
+    return spread(docs).mapInArrow(keep, schema).select(*names)

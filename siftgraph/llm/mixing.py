@@ -127,6 +127,15 @@ def mix(docs: DataFrame, block: int = 64, per_shard: int = 4096, seed: str = "mi
     return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "row")
 
 
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` without those that the mix takes no word of; columns as they came. A document taken
+    in part or more than once stays whole, once: how often to read it is ``mix``'s to say. Rows
+    alike in id and source are kept together."""
+    taken = mix(docs.select("doc_id", "source", "text"), **how).where("taken > 0")
+    taken = taken.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
 # The same in DuckDB's SQL.
 SQL = r"""WITH sized AS (
   SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0 ELSE
