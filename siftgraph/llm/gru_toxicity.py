@@ -179,7 +179,7 @@ def score_texts(net: Network, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return best, got, text
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 3, epochs: int = 3, batch: int = 128, rate: float = 0.01, seed: int = 1) -> Network:
+def train(texts: list[str], labels: list[int], rounds: int = 3, epochs: int = 3, batch: int = 128, rate: float = 0.01, least_steps: int = 360, seed: int = 1) -> Network:
     """Fit a network from texts whose labels say only that some window is toxic, or that none is.
 
     A toxic text stands in training for its window that looks worst: first by its words' log
@@ -214,7 +214,8 @@ def train(texts: list[str], labels: list[int], rounds: int = 3, epochs: int = 3,
         clean = np.flatnonzero(y[text] == 0)
         drawn = rng.choice(clean, min(len(clean), int(n)), replace=False) if len(clean) else clean
         used = np.concatenate([worst, drawn])
-        for _ in range(epochs):
+        # Few windows are gone through more often, so that the network gets enough steps.
+        for _ in range(max(epochs, -(-least_steps * batch // (rounds * len(used))))):
             for part in np.array_split(rng.permutation(used), max(1, len(used) // batch)):
                 mine, local = np.unique(word[:, part], return_inverse=True)
                 local = local.reshape(WINDOW, -1) - (mine[0] == -1)
