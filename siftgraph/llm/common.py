@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import types
 from collections.abc import Iterator
@@ -27,6 +29,14 @@ def slices(
         at = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for i, j in zip(at, at[1:], strict=False):
             yield batch.slice(i, j - i)
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory goes back to the system, as an idle worker waits beside busy ones."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import flat, mix64, ranges, slices, spread
+from .common import flat, give_back, mix64, slices, spread
 
 LENGTH = 200
 LEVELS = (64, 176, 200)
-CHUNK = 1 << 21
-RUN_BYTES = 24 << 20
+CHUNK = 1 << 20
+RUN_BYTES = 12 << 20
 BASE = 0x9E3779B97F4A7C15
 KEYS = ["k1", "k2"]
 
@@ -102,15 +102,21 @@ def least_gram_rows(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarra
 ROW = "gram long, whole long, k1 long, k2 long, off long, lo long, hi long"
 
 
-def _flagged(texts: DataFrame, k: int) -> DataFrame:
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        whole = [zstandard.decompress(t) for t in batch.column("text").to_pylist()]
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(whole, pa.binary()))
+
+
+def _flagged(texts: DataFrame, k: int, packed: bool) -> DataFrame:
     """Rows whose least k-gram another row has: (k1, k2, off, lo, hi, claim, again).
 
     Rows are sorted over all partitions, so a frequent k-gram is no one's task, and compared with
     their neighbours: an equal one makes a claim; an unlike one under the same k-gram asks for
-    another look. Only the rows at partition borders, two each, are compared by the driver.
+    another look, unless all rows under it are seen to make claims. Only the rows at partition borders, two each, are compared by the driver.
     """
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=CHUNK):
+        for batch in slices(_unpacked(batches) if packed else batches, most=CHUNK):
             text, lo, hi, gram, whole = least_gram_rows(*flat(batch.column("text"))[::-1], k)
             pick = pa.array(text)
             keys = [batch.column(c).take(pick) for c in (*KEYS, "off")]
@@ -131,7 +137,11 @@ def _flagged(texts: DataFrame, k: int) -> DataFrame:
             for x, y in ((claim, equal), (again, same & ~equal)):
                 x[1:] |= y
                 x[:-1] |= y
-            return claim, again
+            # A group that lies inside this batch and has claims only needs no other look.
+            group = np.concatenate([[0], np.cumsum(~same)])
+            open_ = np.bincount(group, again & ~claim) > 0
+            open_[[0, -1]] = True
+            return claim, again & open_[group]
 
         def rows(t: pa.Table, claim, again, border: int) -> Iterator[pa.RecordBatch]:
             t = t.append_column("claim", pa.array(claim)).append_column("again", pa.array(again))
@@ -343,26 +353,33 @@ def _runs(met: DataFrame, splitters: list[bytes]) -> DataFrame:
         for batch in batches:
             k1, k2, off = (batch.column(c).to_pylist() for c in (*KEYS, "off"))
             packed, rows = batch.column("text"), batch.column("rows")
-            for i in range(batch.num_rows):
+            fields = rows.flatten()
+            lo, hi, claim, again = (fields.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "claim", "again"))
+            ends = np.cumsum(rows.value_lengths().to_numpy(zero_copy_only=False))
+            for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
                 text = zstandard.decompress(packed[i].as_py())
-                again = []
-                for row in rows[i].as_py():
-                    lo, hi = row["lo"], row["hi"]
-                    s = text[lo : hi + LENGTH]
-                    if row["claim"]:
-                        held.append((s, k1[i], k2[i], off[i] + lo, off[i] + hi))
-                        size += len(s)
-                    if row["again"]:
-                        again.append((off[i] + lo, zstandard.compress(s, 1)))
-                if again:
-                    n = len(again)
-                    yield _span_batch(n, k1=[k1[i]] * n, k2=[k2[i]] * n, off=[a for a, _ in again], text=[t for _, t in again])
+                mine = np.flatnonzero(claim[a:b]) + a
+                for x, y in zip(lo[mine].tolist(), hi[mine].tolist(), strict=True):
+                    held.append((text[x : y + LENGTH], k1[i], k2[i], off[i] + x, off[i] + y))
+                size += int((hi[mine] - lo[mine] + LENGTH).sum())
+                mine = np.flatnonzero(again[a:b]) + a
+                if len(mine):
+                    # Rows side by side are one text for the next look.
+                    mine = mine[np.argsort(lo[mine], kind="stable")]
+                    x, y = lo[mine], np.maximum.accumulate(hi[mine])
+                    new = np.concatenate([[True], x[1:] > y[:-1] + 1])
+                    x, y = x[new].tolist(), y[np.append(np.flatnonzero(new)[1:] - 1, len(y) - 1)].tolist()
+                    n = len(x)
+                    some = [zstandard.compress(text[p : q + LENGTH], 1) for p, q in zip(x, y, strict=True)]
+                    yield _span_batch(n, k1=[k1[i]] * n, k2=[k2[i]] * n, off=[off[i] + p for p in x], text=some)
                 if size >= RUN_BYTES:
                     yield from flush()
                     held.clear()
                     size = 0
         if held:
             yield from flush()
+            held.clear()
+        give_back()
 
     return cut(met.mapInArrow(work, SPAN), "suffix-runs")
 
@@ -370,6 +387,7 @@ def _runs(met: DataFrame, splitters: list[bytes]) -> DataFrame:
 def _merge(runs: DataFrame) -> DataFrame:
     def merge(table: pa.Table) -> pa.Table:
         got = _spans([Run(b) for b in table.column("blob").to_pylist()])
+        give_back()
         return pa.table({c: pa.array(got[:, i]) for i, c in enumerate(("k1", "k2", "lo", "hi"))})
 
     return runs.groupBy("range").applyInArrow(merge, "k1 long, k2 long, lo long, hi long")
@@ -378,7 +396,7 @@ def _merge(runs: DataFrame) -> DataFrame:
 def _splitters(texts: DataFrame, parts: int) -> list[bytes]:
     """Borders of the ranges, from suffixes at even steps of 512 sampled texts; they steer the
     work and never the result."""
-    rows = texts.orderBy(F.xxhash64("k1", "k2"), "k1", "k2").limit(512).select(F.substring("text", 1, 1 << 15).alias("text")).collect()
+    rows = texts.orderBy(F.xxhash64("k1", "k2"), "k1", "k2").limit(512).select(F.substring("text", 1, 1 << 13).alias("text")).collect()
     some = sorted({bytes(r.text[i : i + 48]) for r in rows for i in range(0, max(len(r.text) - LENGTH, 0), 97)})
     return sorted({some[i * len(some) // parts] for i in range(1, parts)}) if some else []
 
@@ -399,36 +417,25 @@ def repeated(texts: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """Windows of ``LENGTH`` bytes that also start elsewhere: (k1, k2, lo, hi), first to last."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     splitters = _splitters(texts, parts)
-    spans, plain = [], True
+    spans = []
     for level, k in enumerate(levels):
-        rows = _flagged(texts, k)
+        rows = _flagged(texts, k, packed=level > 0)
         if level == len(levels) - 1:
             rows = rows.where("claim")
         each = rows.groupBy(*KEYS, "off").agg(F.collect_list(F.struct("lo", "hi", "claim", "again")).alias("rows"))
         each = each.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("off").alias("_off"), "rows")
-        source = _packed(texts) if plain else texts.withColumnRenamed("packed", "_").drop("_")
         same = (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & (F.col("off") == F.col("_off"))
-        met = source.join(each, same).select(*KEYS, "off", "text", "rows")
-        found = _runs(met, splitters)
+        source = texts if level else _packed(texts)
+        found = _runs(source.join(each, same).select(*KEYS, "off", "text", "rows"), splitters)
         spans.append(_merge(found.where("blob is not null").select("range", "blob")))
         spans.append(found.where("range is null and text is null").select("k1", "k2", "lo", "hi"))
-        if level < len(levels) - 1:
-            texts = _unpacked(found.where("text is not null").select(*KEYS, "off", "text"))
+        texts = found.where("text is not null").select(*KEYS, "off", "text")
     out = spans[0]
     for s in spans[1:]:
         out = out.union(s)
     return cut(out, "suffix-spans")
 
 
-def _unpacked(texts: DataFrame) -> DataFrame:
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whole = [zstandard.decompress(t) for t in batch.column("text").to_pylist()]
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(whole, pa.binary()))
-
-    return texts.mapInArrow(unpack, texts.schema)
-
-
 def covered(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of bytes [begin, end) that windows lo to hi cover."""
     order = np.argsort(lo, kind="stable")
