@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.records import in_window, project_record, read_records, valid_records
-from ..sources.tables import PAPERS_RAW, SnapshotTable
+from ..sources.tables import PAPERS_RAW, SnapshotTable, latest_per_key
 
 # Arrival order: a later page wins, then the later datestamp within it.
 ARRIVAL = ("landed_at", "landed_in", "datestamp", "updated", "title")
+LANDED = f"{PAPERS_RAW}, datestamp string, landed_at timestamp, landed_in string"
 
 
 def flat_records(
@@ -34,19 +35,26 @@ def ingest(
     until_date: str | None = None,
     files_per_batch: int | None = None,
 ) -> DataFrame:
-    """Merge every page not seen before into the table at ``target`` and return the table.
+    """Merge every page not seen before and return the table at ``target``.
+
+    Every record that lands is kept, with its datestamp, in ``target`` + ``_landed``; the dates
+    bound what a run takes from there, so a record outside one run's window is still there for a
+    later run. A record is kept once per datestamp, and the last one in the window counts; one
+    that is not the newest known never replaces a row that the table has.
 
     The stream's checkpoint is the harvest state: it moves on only after a batch is committed.
-    A batch replayed after a failure changes nothing, since rows replace by id. The dates bound
-    a run; left out, a run takes all that has landed since the last one. By default that is one
-    batch, so the table is merged once a run; ``files_per_batch`` splits a large backlog.
+    A batch replayed after a failure changes nothing, since rows replace by key. By default all
+    that has landed is one batch; ``files_per_batch`` splits a large backlog.
     """
     table = SnapshotTable(spark, target, PAPERS_RAW)
+    landed = SnapshotTable(spark, f"{target.rstrip('/')}_landed", LANDED)
+    order = [F.col(c) for c in ARRIVAL]
 
     def merge(batch: DataFrame, _: int) -> None:
-        table.upsert(batch, ["id"], order_by=[F.col(c) for c in ARRIVAL])
+        rows = batch.withColumn("datestamp", F.coalesce("datestamp", F.lit("")))
+        landed.upsert(rows, ["id", "datestamp"], order_by=order)
 
-    pages = flat_records(spark, landing, True, from_date, until_date, files_per_batch)
+    pages = flat_records(spark, landing, True, files_per_batch=files_per_batch)
     query = (
         pages.writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
@@ -54,4 +62,14 @@ def ingest(
         .start()
     )
     query.awaitTermination()
+    newest = F.row_number().over(Window.partitionBy("id").orderBy(*[c.desc() for c in order])) == 1
+    rows = in_window(landed.read().withColumn("_newest", newest), from_date, until_date)
+    rows, known = latest_per_key(rows, ["id"], order), table.read()
+    columns = known.columns
+    taken = rows.where("_newest").select(*columns).unionByName(
+        rows.where("not _newest").select(*columns).join(known.select("id"), "id", "left_anti")
+    )
+    fresh = taken.subtract(known)
+    if not fresh.isEmpty():
+        table.upsert(fresh, ["id"])
     return table.read()

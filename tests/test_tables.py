@@ -126,6 +126,19 @@ def test_harvest_window_is_inclusive(spark, tmp_path):
     assert rows(found, "datestamp") == [("2024-01-02",), ("2024-01-03T10:00:00Z",)]
 
 
+def test_record_outside_one_window_is_there_for_a_later_run(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    (landing / "a.xml").write_text(PAGE.format(record("1", day="2020-01-01") + record("2", day="2021-01-01")))
+    paths = [str(landing), str(tmp_path / "table"), str(tmp_path / "state")]
+    assert ingest(spark, *paths, until_date="2020-06-01").count() == 1
+    assert ingest(spark, *paths).count() == 2
+    (landing / "b.xml").write_text(PAGE.format(record("2", "newer", day="2022-01-01")))
+    assert ingest(spark, *paths, until_date="2020-06-01").where("title = 'newer'").count() == 0
+    assert ingest(spark, *paths).where("title = 'newer'").count() == 1
+    assert ingest(spark, *paths, until_date="2021-06-01").where("title = 'newer'").count() == 1
+
+
 def test_side_files(spark, tmp_path):
     (tmp_path / "seeds.txt").write_text("a\n\n  b \na\n\t\n")
     (tmp_path / "labels.csv").write_text("id,label\nx,1\ny,0\n")
