@@ -21,10 +21,11 @@ WEIGHT_PLACES = 9
 
 
 @cache
-def _accents() -> tuple[str, str, str]:
-    """(from, to, gone): letters that decompose to one plain letter, and marks to delete."""
-    plain, gone = {}, []
-    for code in range(0x80, 0x10000):
+def _accents() -> tuple[str, str, str, dict[str, str]]:
+    """(from, to, gone, long): letters that decompose to one plain letter, marks to delete, and
+    letters that decompose to several of a to z and 0 to 9."""
+    plain, gone, long = {}, [], {}
+    for code in range(0x80, 0x110000):
         if 0xD800 <= code < 0xE000:
             continue
         ch = chr(code)
@@ -33,16 +34,24 @@ def _accents() -> tuple[str, str, str]:
             continue
         base = [c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c)]
         if len(base) == 1 and base[0] != ch:
-            plain[ch] = base[0]
-    return "".join(plain), "".join(plain.values()), "".join(gone)
+            plain[ch] = base[0].lower()
+        elif len(base) > 1 and all(c.isascii() and c.isalnum() for c in base):
+            long[ch] = "".join(base).lower()
+    return "".join(plain), "".join(plain.values()), "".join(gone), long
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents. Characters that decompose to several letters stay whole."""
-    source, target, gone = _accents()
+    """Lower case without accents. Ligatures and the like become the letters they stand for; a
+    character that decomposes to several others than a to z and 0 to 9 stays whole."""
+    source, target, gone, long = _accents()
     low = F.lower(text)
     ascii_only = F.octet_length(text) == F.length(text)
-    return F.when(ascii_only, low).otherwise(F.translate(low, source + gone, target))
+    folded = F.translate(low, source + gone, target)
+    # Few texts have such characters; only these are taken apart.
+    several = F.create_map(*[F.lit(x) for pair in long.items() for x in pair])
+    apart = F.transform(F.split(folded, ""), lambda c: F.coalesce(F.try_element_at(several, c), c))
+    plain = F.when(folded.rlike(f"[{''.join(long)}]"), F.array_join(apart, "")).otherwise(folded)
+    return F.when(ascii_only, low).otherwise(plain)
 
 
 def tokens(text: Column, stopwords: Sequence[str]) -> Column:

@@ -54,6 +54,19 @@ def upsert_full(spark, sf):
     return tables.upsert(_target(spark, sf), _clicks(spark, sf), ["user_id"], order_by=_order())
 
 
+@query(
+    "upsert_repeats",
+    f"""WITH target AS ({_LATEST.format(where="WHERE event_type <> 'click'")}),
+    source AS (SELECT * FROM events WHERE event_type = 'click'
+      QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+    SELECT * FROM source UNION ALL
+    SELECT * FROM target WHERE user_id NOT IN (SELECT user_id FROM source)""",
+)
+def upsert_repeats(spark, sf):
+    """Repeated source keys and no order: still one row a key."""
+    return tables.upsert(_target(spark, sf), _clicks(spark, sf), ["user_id"])
+
+
 @query(
     "upsert_partial",
     f"""{_EVENT_PARTS} SELECT coalesce(t.event_id, s.event_id) AS event_id,
@@ -274,6 +287,15 @@ def ingest_stream(spark, sf):
     return rows.select(*_FIELDS)
 
 
+@query("ingest_window", _RECORDS)
+def ingest_window(spark, sf):
+    """A run bounded by a date, then one without bounds over the same pages: nothing is missed."""
+    landing, target = _landed(spark, sf), scratch_path(spark, "papers_raw")
+    checkpoint = scratch_path(spark, "harvest")
+    ingest(spark, landing, target, checkpoint, until_date="1996-12-31")
+    return ingest(spark, landing, target, checkpoint).select(*_FIELDS)
+
+
 @query("all_stages")
 def all_stages(spark, sf):
     """Documents as harvested pages, through every stage to labelled clusters."""

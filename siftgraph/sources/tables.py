@@ -90,14 +90,15 @@ def upsert(
     """The table after ``source`` is merged into ``target`` by ``keys``.
 
     Listed columns take the source's value (a NULL too), all others keep the target's. New keys
-    are inserted. ``order_by`` resolves repeated keys in the source, last wins. ``prune`` also
-    drops target rows whose key is absent from the source.
+    are inserted. A key repeated in the source counts once: ``order_by`` says which row, last wins;
+    without it the greatest row does, column by column. ``prune`` also drops target rows whose
+    key is absent from the source.
 
     No full outer join: a small batch is broadcast and the large table is never shuffled.
     """
     keys = list(keys)
-    if order_by is not None:
-        source = latest_per_key(source, keys, order_by)
+    rest = [F.col(c) for c in source.columns if c not in keys]
+    source = latest_per_key(source, keys, order_by or rest or [F.col(keys[0])])
     source = source.select(*[c for c in source.columns if c in target.columns])
     cols = [c for c in source.columns if c not in keys] if update_cols == "*" else list(update_cols)
     merged = update_by_key(target, source, keys, cols, "inner" if prune else "left")

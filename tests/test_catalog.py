@@ -12,7 +12,7 @@ from siftgraph import session
 SF = "/root/testdata/sf0.001"
 FEW = [
     "keyword_gate", "stage1", "domain_tag", "upsert_full", "upsert_partial", "label_upsert",
-    "read_table", "harvest_records", "centroid_filter", "stage_counts", "similarity_stats",
+    "read_table", "harvest_records", "upsert_repeats", "ingest_window", "centroid_filter", "stage_counts", "similarity_stats",
     "missing_embeddings", "knn_global", "knn_in_cluster", "tfidf", "diverse_terms",
     "phrase_ranking", "search_scores", "facet_after_limit", "adjacency", "graph_nodes",
     "summary_lookup", "canvas_points", "decollide",
@@ -78,3 +78,5 @@ def test_scratch_folder_is_the_sessions():
     assert session.scratch_root(shared) == "hdfs://x/shared"
     with pytest.raises(RuntimeError):
         session.scratch_root(Session(spark_master="yarn"))
+    with pytest.raises(RuntimeError):
+        session.scratch_root(Session(spark_master="local-cluster[3,2,1024]"))

@@ -18,6 +18,12 @@ def docs(spark, texts, cids=None):
     return spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate(zip(texts, cids))], "id int, text string, cid int")
 
 
+def test_fold_takes_all_letters(spark):
+    text = "\U0001d400ﬁ Ⅷ é Ǆ plain"
+    got = spark.createDataFrame([(text,), ("ABC",), ("",)], "t string").select(terms.fold(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["afi viii e dz plain", "abc", ""]
+
+
 def test_tokens_fold_and_bridge_stop_words(spark):
     df = docs(spark, ["Safety of the Modèles, a b2 naïve_x!", "ÉTÉ Ⅷ x", ""])
     got = {}
