@@ -1,4 +1,4 @@
-"""Files that tasks write to and read from the shared store, by URI."""
+"""Files and tables in the shared store, by URI."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from collections.abc import Callable
 from typing import BinaryIO
 
 from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
+
+from ..session import scratch_path
 
 
 def store(uri: str) -> tuple[fs.FileSystem, str]:
@@ -30,3 +33,16 @@ def put(uri: str, write: Callable[[BinaryIO], None]) -> None:
 def get(uri: str) -> BinaryIO:
     system, path = store(uri)
     return system.open_input_file(path)
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` from a table in the shared folder, and where that is: ``discard`` it once all that
+    reads it is written itself."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

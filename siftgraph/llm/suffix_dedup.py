@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .common import flat, give_back, mix64, slices, spread
+from .stores import discard, written
 
 LENGTH = 200
 LEVELS = (64, 176, 200)
@@ -99,7 +100,16 @@ def least_gram_rows(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarra
     return text, first - at[text], last - at[text], gram, whole
 
 
-ROW = "gram long, whole long, k1 long, k2 long, off long, lo long, hi long"
+# A row's place in one number: its first window, how many more it has (fewer than LENGTH, so a
+# byte holds them), whether it is claimed to repeat, and whether it needs another look.
+CLAIM, AGAIN = 2, 1
+ROW = "gram long, whole long, k1 long, k2 long, off long, mark long"
+
+
+def _windows(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of marked rows."""
+    lo = mark >> 10
+    return lo, lo + ((mark >> 2) & 255)
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,8 +118,8 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(whole, pa.binary()))
 
 
-def _flagged(texts: DataFrame, k: int, packed: bool) -> DataFrame:
-    """Rows whose least k-gram another row has: (k1, k2, off, lo, hi, claim, again).
+def _flagged(texts: DataFrame, k: int, packed: bool) -> tuple[DataFrame, str]:
+    """Rows whose least k-gram another row has: (k1, k2, off, mark), and the table they are read from.
 
     Rows are sorted over all partitions, so a frequent k-gram is no one's task, and compared with
     their neighbours: an equal one makes a claim; an unlike one under the same k-gram asks for
@@ -120,10 +130,10 @@ def _flagged(texts: DataFrame, k: int, packed: bool) -> DataFrame:
             text, lo, hi, gram, whole = least_gram_rows(*flat(batch.column("text"))[::-1], k)
             pick = pa.array(text)
             keys = [batch.column(c).take(pick) for c in (*KEYS, "off")]
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), *keys, pa.array(lo), pa.array(hi)], names[:7])
+            mark = pa.array((lo << 10) | ((hi - lo) << 2))
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), *keys, mark], order)
 
-    names = ["gram", "whole", *KEYS, "off", "lo", "hi", "claim", "again", "part"]
-    ddl = f"{ROW}, claim boolean, again boolean, part long"
+    order = ["gram", "whole", *KEYS, "off", "mark"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = TaskContext.get().partitionId(), None
@@ -144,10 +154,14 @@ def _flagged(texts: DataFrame, k: int, packed: bool) -> DataFrame:
             return claim, again & open_[group]
 
         def rows(t: pa.Table, claim, again, border: int) -> Iterator[pa.RecordBatch]:
-            t = t.append_column("claim", pa.array(claim)).append_column("again", pa.array(again))
-            t = t.append_column("part", pa.array(np.full(len(claim), border, np.int64)))
-            keep = np.ones(len(claim), bool) if border >= 0 else claim | again
-            yield from t.filter(pa.array(keep)).to_batches()
+            mark = t.column("mark").to_numpy() | claim * CLAIM | again * AGAIN
+            t = t.set_column(5, "mark", pa.array(mark)).append_column("part", pa.array(np.full(len(mark), border, np.int64)))
+            if border < 0:
+                # Hashes are of no more use away from the borders.
+                t = t.filter(pa.array(claim | again))
+                none = pa.nulls(t.num_rows, pa.int64())
+                t = t.set_column(0, "gram", none).set_column(1, "whole", none)
+            yield from t.to_batches()
 
         # The last row is held back, with its flags so far, until its next one is known.
         for batch in batches:
@@ -172,21 +186,21 @@ def _flagged(texts: DataFrame, k: int, packed: bool) -> DataFrame:
 
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = names[:7]
     ranged = texts.mapInArrow(split, ROW).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = cut(ranged.mapInArrow(compare, ddl), "suffix-rows")
-    border = [list(r) for r in found.where("part >= 0").select("part", *names[:7], "claim", "again").collect()]
+    found, path = written(ranged.mapInArrow(compare, f"{ROW}, part long"), "suffix-rows")
+    border = [list(r) for r in found.where("part >= 0").select("part", *order).collect()]
     border.sort()
     for x, y in zip(border, border[1:], strict=False):
         if x[0] != y[0] and x[1] == y[1]:
-            i = 8 if x[2] == y[2] else 9
-            x[i] = y[i] = True
-    columns = [*KEYS, "off", "lo", "hi", "claim", "again"]
+            flag = CLAIM if x[2] == y[2] else AGAIN
+            x[6] |= flag
+            y[6] |= flag
+    columns = [*KEYS, "off", "mark"]
     rows = found.where("part < 0").select(*columns)
-    extra = [tuple(r[3:]) for r in border if r[8] or r[9]]
+    extra = [tuple(r[3:]) for r in border if r[6] & (CLAIM | AGAIN)]
     if extra:
-        rows = rows.union(spark.createDataFrame(extra, ROW.split("whole long, ")[1] + ", claim boolean, again boolean"))
-    return rows
+        rows = rows.union(spark.createDataFrame(extra, ROW.split("whole long, ")[1]))
+    return rows, path
 
 
 def common(a: bytes, b: bytes, known: int) -> int:
@@ -322,9 +336,9 @@ def _span_batch(n: int, **given) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, t in kinds.items()], list(kinds))
 
 
-def _runs(met: DataFrame, splitters: list[bytes]) -> DataFrame:
+def _runs(met: DataFrame, splitters: list[bytes]) -> tuple[DataFrame, str]:
     """From texts with their flagged rows: sorted runs by range, texts to look at again, and
-    windows found to repeat within one run."""
+    windows found to repeat within one run; and the table they are read from."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[bytes, int, int, int, int]] = []
         size = 0
@@ -353,8 +367,9 @@ def _runs(met: DataFrame, splitters: list[bytes]) -> DataFrame:
         for batch in batches:
             k1, k2, off = (batch.column(c).to_pylist() for c in (*KEYS, "off"))
             packed, rows = batch.column("text"), batch.column("rows")
-            fields = rows.flatten()
-            lo, hi, claim, again = (fields.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "claim", "again"))
+            marks = rows.flatten().to_numpy(zero_copy_only=False)
+            claim, again = marks & CLAIM > 0, marks & AGAIN > 0
+            lo, hi = _windows(marks)
             ends = np.cumsum(rows.value_lengths().to_numpy(zero_copy_only=False))
             for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
                 text = zstandard.decompress(packed[i].as_py())
@@ -381,7 +396,7 @@ def _runs(met: DataFrame, splitters: list[bytes]) -> DataFrame:
             held.clear()
         give_back()
 
-    return cut(met.mapInArrow(work, SPAN), "suffix-runs")
+    return written(met.mapInArrow(work, SPAN), "suffix-runs")
 
 
 def _merge(runs: DataFrame) -> DataFrame:
@@ -417,23 +432,30 @@ def repeated(texts: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """Windows of ``LENGTH`` bytes that also start elsewhere: (k1, k2, lo, hi), first to last."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     splitters = _splitters(texts, parts)
-    spans = []
+    spans, before = [], ""
     for level, k in enumerate(levels):
-        rows = _flagged(texts, k, packed=level > 0)
+        rows, flagged = _flagged(texts, k, packed=level > 0)
         if level == len(levels) - 1:
-            rows = rows.where("claim")
-        each = rows.groupBy(*KEYS, "off").agg(F.collect_list(F.struct("lo", "hi", "claim", "again")).alias("rows"))
+            rows = rows.where(F.col("mark").bitwiseAND(F.lit(CLAIM)) > 0)
+        each = rows.groupBy(*KEYS, "off").agg(F.collect_list("mark").alias("rows"))
         each = each.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("off").alias("_off"), "rows")
         same = (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & (F.col("off") == F.col("_off"))
         source = texts if level else _packed(texts)
-        found = _runs(source.join(each, same).select(*KEYS, "off", "text", "rows"), splitters)
-        spans.append(_merge(found.where("blob is not null").select("range", "blob")))
-        spans.append(found.where("range is null and text is null").select("k1", "k2", "lo", "hi"))
+        found, path = _runs(source.join(each, same).select(*KEYS, "off", "text", "rows"), splitters)
+        merged = _merge(found.where("blob is not null").select("range", "blob"))
+        twins = found.where("range is null and text is null").select("k1", "k2", "lo", "hi")
+        spans.append(cut(merged.union(twins), "suffix-spans"))
         texts = found.where("text is not null").select(*KEYS, "off", "text")
+        # What later steps read is written by now.
+        discard(texts.sparkSession, flagged)
+        if before:
+            discard(texts.sparkSession, before)
+        before = path
+    discard(texts.sparkSession, before)
     out = spans[0]
     for s in spans[1:]:
         out = out.union(s)
-    return cut(out, "suffix-spans")
+    return out
 
 
 def covered(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -467,7 +489,8 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
         "text",
     )
     spans = repeated(own.select(*KEYS, "off", "text"))
-    each = spans.groupBy(*KEYS).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    mark = F.shiftleft("lo", 10) + F.shiftleft(F.col("hi") - F.col("lo"), 2)
+    each = spans.groupBy(*KEYS).agg(F.collect_list(mark).alias("spans"))
     each = each.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "spans")
     met = _packed(own.drop("off")).join(each, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left")
 
@@ -479,8 +502,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
                 pieces, at = [], 0
                 n = 0
                 if spans.is_valid:
-                    flatten = spans.values
-                    begin, end = covered(flatten.field("lo").to_numpy(), flatten.field("hi").to_numpy())
+                    begin, end = covered(*_windows(spans.values.to_numpy()))
                     n = len(begin)
                     for a, b in zip(begin.tolist(), end.tolist(), strict=True):
                         pieces.append(text[at:a])
