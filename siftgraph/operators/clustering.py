@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import l2_normalize
 from ..session import cut
-from .blocks import matrix
+from .blocks import block_cogroup, matrix
+from .joins import hot_split_join
 from .neighbours import knn_join, points_of
 from .ordering import number_rows
 from .spanning import connected_components, jump_to_roots, reachability_mst
@@ -121,61 +122,140 @@ def kmeans(
     return assign_nearest(emb, centers, vec_col, out).select(id_col, out)
 
 
+# Clusters that may meet in one task: a block of the pairing, and the end of the merging.
+WARD_ROWS = 2048
+
+
 def ward(
     emb: DataFrame,
     k: int = 8,
-    micro: int = 1000,
-    seed: int = 42,
     id_col: str = "paper_id",
     vec_col: str = "vector",
     out: str = "agg_cluster",
+    block_rows: int = WARD_ROWS,
 ) -> DataFrame:
-    """Ward's hierarchical clusters cut at k.
+    """Ward's hierarchical clusters cut at k, exact at every size.
 
-    Rows are first gathered into at most ``micro`` weighted centroids; the merges run over that
-    bounded table. With no more rows than ``micro`` every row is its own centroid and the result
-    is exact; beyond it the tree below the centroids is not built.
+    A round merges all pairs of clusters that are each other's nearest. No merge brings a third
+    cluster closer than the nearer of its two parts was, so these pairs also meet when pairs are
+    merged one by one, and the tree is the same. The last ``block_rows`` clusters are merged in
+    one task. The k clusters are what is left when the k - 1 dearest merges are undone, numbered
+    by their smallest ids. Copies of a vector merge first, at no cost, and are one row from the
+    start, so fewer than k different vectors make fewer clusters. Ties go to the smaller ids.
+
+    Nearest clusters are found by comparing all blocks, which is quadratic, as the exact tree
+    demands; what leaves a block pair is one row per cluster.
     """
-    rows = emb.select(id_col, F.col(vec_col).cast("array<double>").alias("v"))
-    if rows.limit(micro + 1).count() <= micro:
-        placed = number_rows(rows, [F.col(id_col)], "m")
-    else:
-        centers = kmeans_centers(rows, micro, seed, 1, max_iter=20, vec_col="v")
-        placed = assign_nearest(rows, centers, "v", "m")
-    placed = cut(placed.withColumn("m", F.col("m").cast("long")), "micro")
-    table = vector_sums(placed, ["m"], F.col("v"))
-    table = table.select("m", "n", F.transform("total", lambda x: x / F.col("n")).alias("c"))
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    rows = emb.select(id_col, F.col(vec_col).cast("array<double>").alias("v")).where("v is not null")
+    heads = rows.groupBy("v").agg(F.min(id_col).alias("_id"), F.count(F.lit(1)).alias("_rows"))
+    leaves = cut(number_rows(heads, [F.col("_id")], "m"), "leaves")
+    live = leaves.select("m", F.col("_rows").cast("double").alias("n"), F.col("v").alias("c"))
+    merges = None
+    while live.count() > block_rows:
+        best = _ward_nearest(live, block_rows).groupBy("i").agg(F.min(F.struct("cost", "lo", "hi")).alias("p"))
+        picks = best.groupBy("p.lo", "p.hi").agg(F.min("p.cost").alias("cost"), F.count(F.lit(1)).alias("picks"))
+        picks = cut(picks, "picks")
+        pairs = picks.where("picks = 2")
+        if pairs.isEmpty():
+            # Rounding can hide a pair from one of its sides; the cheapest of all may always merge.
+            pairs = picks.orderBy("cost", "lo", "hi").limit(1)
+        pairs = cut(pairs.select("lo", "hi", "cost"), "merges")
+        merges = pairs if merges is None else merges.union(pairs)
+        live = cut(_ward_merged(live, pairs), "live")
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("m")
-        labels = ward_merge(np.vstack(pdf["c"].to_numpy()), pdf["n"].to_numpy(float), k)
-        return pd.DataFrame({"m": pdf["m"], out: labels})
-
-    # One group of at most ``micro`` rows.
-    merged = table.groupBy(F.lit(0).alias("all")).applyInPandas(merge, f"m long, {out} int")
-    return placed.join(cut(merged, "merged"), "m").select(id_col, out)
+        m = pdf["m"].to_numpy()
+        lo, hi, cost = ward_tree(np.vstack(pdf["c"].to_numpy()), pdf["n"].to_numpy(float))
+        return pd.DataFrame({"lo": m[lo], "hi": m[hi], "cost": cost})
+
+    # One group of at most ``block_rows`` clusters.
+    last = live.groupBy(F.lit(0).alias("all")).applyInPandas(finish, "lo long, hi long, cost double")
+    merges = cut(last if merges is None else merges.union(last), "merges")
+    dear = merges.orderBy(F.desc("cost"), F.desc("lo"), F.desc("hi")).limit(k - 1).select("hi")
+    kept = merges.join(dear, "hi", "left_anti").select(F.col("hi").alias("m"), "lo")
+    # A merged cluster keeps the smaller number, so every other leaf points to a smaller one.
+    roots = jump_to_roots(
+        leaves.select("m").join(kept, "m", "left").select(F.col("m").alias("c"), F.coalesce("lo", "m").alias("r"))
+    )
+    named = number_rows(roots.select("r").distinct(), [F.col("r")], "_n")
+    labels = roots.join(named, "r").select(F.col("c").alias("m"), F.col("_n").cast("int").alias(out))
+    labelled = cut(leaves.join(labels, "m").select("v", "_rows", out), "labelled")
+    return hot_split_join(rows, labelled, ["v"], "_rows", id_col).select(id_col, out)
+
+
+def _ward_nearest(live: DataFrame, block_rows: int) -> DataFrame:
+    """(i, cost, lo, hi): for each block that a cluster meets, its cheapest pair there."""
+    # Always 0, but not a constant: a join on constants would be planned as a nested loop.
+    side = live.withColumn("cell", F.pmod(F.xxhash64("m"), F.lit(1)))
+
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.sort_by("m"), right.sort_by("m")
+        i, j = left.column("m").to_numpy(), right.column("m").to_numpy()
+        x, y = matrix(left, "c"), matrix(right, "c")
+        n, w = left.column("n").to_numpy()[:, None], right.column("n").to_numpy()[None, :]
+        d = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2.0 * x @ y.T
+        d = np.maximum(d, 0.0) * (n * w / (n + w))
+        if np.array_equal(i, j):
+            d = np.minimum(d, d.T)
+            np.fill_diagonal(d, np.inf)
+        to, back = d.argmin(axis=1), d.argmin(axis=0)
+        one = np.concatenate([i, j])
+        other = np.concatenate([j[to], i[back]])
+        cost = np.concatenate([d[np.arange(len(i)), to], d[back, np.arange(len(j))]])
+        table = {"i": one, "cost": cost, "lo": np.minimum(one, other), "hi": np.maximum(one, other)}
+        return pa.table(table).filter(pa.array(np.isfinite(cost)))
+
+    schema = "i long, cost double, lo long, hi long"
+    return block_cogroup(side, side, ["cell"], "m", "m", kernel, schema, block_rows, symmetric=True)
+
+
+def _ward_merged(live: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Clusters after the merges; a merged one has the number of its smaller part."""
+    gone = live.join(pairs.select(F.col("hi").alias("m"), "lo"), "m").select(
+        F.col("lo").alias("m"), F.col("n").alias("_n"), F.col("c").alias("_c")
+    )
+    stay = live.join(pairs.select(F.col("hi").alias("m")), "m", "left_anti").join(gone, "m", "left")
+    both = F.col("n") + F.col("_n")
+    mean = F.zip_with("c", "_c", lambda x, y: (x * F.col("n") + y * F.col("_n")) / both)
+    return stay.select(
+        "m", F.coalesce(both, "n").alias("n"), F.when(F.col("_n").isNull(), F.col("c")).otherwise(mean).alias("c")
+    )
 
 
-def ward_merge(c: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
-    """Merge weighted centroids by least growth of variance until k groups are left."""
+def ward_tree(c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All merges of weighted centroids by least growth of variance: kept row, gone row, growth."""
     c, n = c.copy(), n.copy()
-    owner = np.arange(len(n))
     alive = np.ones(len(n), dtype=bool)
 
     def costs(i: int) -> np.ndarray:
         d = ((c - c[i]) ** 2).sum(axis=1) * n * n[i] / (n + n[i])
-        return np.where(alive & (np.arange(len(n)) != i), d, np.inf)
-
-    cost = np.vstack([costs(i) for i in range(len(n))]) if len(n) else np.zeros((0, 0))
-    for _ in range(len(n) - k):
-        i, j = sorted(np.unravel_index(np.argmin(cost), cost.shape))
+        d[~alive] = np.inf
+        d[i] = np.inf
+        return d
+
+    cost = np.vstack([costs(i) for i in range(len(n))])
+    near, least = cost.argmin(axis=1), cost.min(axis=1)
+    lo, hi, growth = [], [], []
+    for _ in range(len(n) - 1):
+        i = int(least.argmin())
+        i, j = sorted((i, int(near[i])))
+        lo.append(i)
+        hi.append(j)
+        growth.append(cost[i, j])
         c[i] = (n[i] * c[i] + n[j] * c[j]) / (n[i] + n[j])
         n[i] += n[j]
         alive[j] = False
-        owner[owner == j] = i
         cost[j, :] = cost[:, j] = np.inf
         cost[i, :] = cost[:, i] = costs(i)
-    return np.unique(owner, return_inverse=True)[1].astype(np.int32)
+        # Rows whose nearest was a part look again; others only at the merged one.
+        stale = np.flatnonzero(alive & ((near == i) | (near == j)))
+        near[stale], least[stale] = cost[stale].argmin(axis=1), cost[stale].min(axis=1)
+        closer = alive & (cost[:, i] < least)
+        near[closer], least[closer] = i, cost[closer, i]
+        near[i], least[i] = cost[i].argmin(), cost[i].min()
+        least[j] = np.inf
+    return np.array(lo, np.int64), np.array(hi, np.int64), np.array(growth, float)
 
 
 def density_cluster(

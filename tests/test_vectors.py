@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftgraph.operators import clustering, neighbours, semantic, spanning, vectors
-from siftgraph.operators.clustering import ward_merge
+from siftgraph.operators.clustering import ward_tree
 from siftgraph.operators.spanning import dense_tree
 
 
@@ -175,7 +175,7 @@ def test_kmeans_and_ward_find_blobs(spark):
     x = blobs()[:90]
     truth = [0] * 30 + [1] * 30 + [2] * 30
     emb = clustering.prepared(frame(spark, x))
-    for rows in (clustering.kmeans(emb, 3, n_init=3), clustering.ward(emb, 3), clustering.ward(emb, 3, micro=20)):
+    for rows in (clustering.kmeans(emb, 3, n_init=3), clustering.ward(emb, 3), clustering.ward(emb, 3, block_rows=20)):
         labels = [r[1] for r in sorted(rows.collect())]
         assert same_partition(labels, truth)
 
@@ -188,21 +188,45 @@ def test_kmeans_labels_are_nearest_centres(spark):
     assert [r["cluster"] for r in rows] == want.tolist()
 
 
-def test_ward_merge_equals_direct_definition():
-    x = sample(25)
-    groups = [[i] for i in range(25)]
+def direct_ward(x, k):
+    """Groups merged one by one, each time the two whose union adds the least variance."""
+    groups = [[i] for i in range(len(x))]
 
     def spread(g):
         return ((x[g] - x[g].mean(axis=0)) ** 2).sum()
 
-    while len(groups) > 4:
+    while len(groups) > k:
         pairs = [(spread(a + b) - spread(a) - spread(b), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j]
         _, i, j = min(pairs)
         groups[i] += groups.pop(j)
-    truth = np.zeros(25, dtype=int)
-    for n, g in enumerate(groups):
+    truth = np.zeros(len(x), dtype=int)
+    for n, g in enumerate(sorted(groups, key=min)):
         truth[g] = n
-    assert same_partition(ward_merge(x, np.ones(25), 4), truth)
+    return truth.tolist()
+
+
+def test_ward_tree_equals_direct_definition():
+    x = sample(25)
+    lo, hi, cost = ward_tree(x, np.ones(25))
+    assert (np.diff(cost) >= -1e-9).all()
+    label = np.arange(25)
+    for a, b in zip(lo[:-3], hi[:-3]):
+        label[label == b] = a
+    assert same_partition(label.tolist(), direct_ward(x, 4))
+
+
+@pytest.mark.parametrize("block_rows", [6, 2048])
+def test_ward_equals_direct_definition_in_rounds_and_blocks(spark, block_rows):
+    x = sample(34, seed=4, copies=10)
+    for k in (1, 5):
+        rows = clustering.ward(frame(spark, x), k, block_rows=block_rows).orderBy("paper_id").collect()
+        assert [r["agg_cluster"] for r in rows] == direct_ward(x, k)
+
+
+def test_ward_with_few_or_no_rows(spark):
+    emb = frame(spark, [[1.0, 0.0], [1.0, 0.0], [0.0, 1.0]])
+    assert [r[1] for r in sorted(clustering.ward(emb, 8).collect())] == [0, 0, 1]
+    assert clustering.ward(emb.limit(0), 8).count() == 0
 
 
 def test_pca_matches_centred_svd(spark):
