@@ -88,10 +88,20 @@ def mix(docs: DataFrame, block: int = 64, per_shard: int = 4096, seed: str = "mi
     with a repeated or null id are documents of their own. An empty table gives no rows. Other
     columns are not looked at. Returns doc_id, size, source_size, target, taken, row.
     """
-    sized = docs.select(
-        "doc_id", "source", words().alias("size"), F.monotonically_increasing_id().alias("row")
-    )
-    sized = cut(sized, "mix-sized")
+    placed, taken = _placed(docs.withColumn("row", F.monotonically_increasing_id()), block, per_shard, seed, **how)
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "row")
+
+
+def _first(block: Column, of: str = "") -> Column:
+    """Does a source's rest, the part of a turn left beside the full ones, fall on this block?"""
+    step, rank, blocks, rest = (F.col(of + c) for c in ("step", "rank", "blocks", "rest"))
+    return (block * step + rank) % blocks < rest
+
+
+def _placed(docs: DataFrame, block: int = 64, per_shard: int = 4096, seed: str = "mix", **how) -> tuple[DataFrame, Column]:
+    """Each ``row`` of ``docs`` with its place among its source's words and how often those are
+    taken, and the column of its words taken."""
+    sized = cut(docs.select("doc_id", "source", words().alias("size"), "row"), "mix-sized")
     goals = targets(sized, **how)
     quotas = cut(shard_quotas(goals, block, per_shard), "mix-quotas")
     total = quotas.groupBy(F.col("rank").alias("_rank")).agg(F.sum("quota").alias("quota"))
@@ -118,22 +128,40 @@ def mix(docs: DataFrame, block: int = 64, per_shard: int = 4096, seed: str = "mi
 
     def part(b: Column) -> Column:
         inside = F.least(F.col("end"), (b + 1) * block) - F.greatest(F.col("start"), b * block)
-        first = (b * F.col("step") + F.col("rank")) % F.col("blocks") < F.col("rest")
-        return inside * (F.col("turns") + F.when(first, 1).otherwise(0))
+        return inside * (F.col("turns") + F.when(_first(b), 1).otherwise(0))
 
     span = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))
     taken = F.aggregate(F.transform(span, part), F.lit(0).cast("long"), lambda a, x: a + x)
     taken = F.when(F.col("size") > 0, taken).otherwise(0).cast("long")
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "row")
+    return placed, taken
+
 
+def mixed(docs: DataFrame, block: int = 64, **how) -> DataFrame:
+    """The words that ``mix`` takes, one row for each document that it takes any of.
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` without those that the mix takes no word of; columns as they came. A document taken
-    in part or more than once stays whole, once: how often to read it is ``mix``'s to say. Rows
-    alike in id and source are kept together."""
-    taken = mix(docs.select("doc_id", "source", "text"), **how).where("taken > 0")
-    taken = taken.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    ``text`` is the whole text once for every full turn, then the words of the blocks that the
+    rest falls on, with the white space behind each; a line feed is between two of these. So the
+    words of a source are as many as ``taken`` says. Other columns are as they came.
+    """
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    placed, taken = _placed(rows.select("doc_id", "source", "text", F.col("_row").alias("row")), block, **how)
+    part = taken - F.col("size") * F.col("turns")
+    chosen = placed.select(
+        F.col("row").alias("_row"),
+        F.struct("start", "size", "rank", "blocks", "turns", "rest", "step", part.alias("part")).alias("_mix"),
+    )
+    chosen = cut(chosen.where((F.col("_mix.size") > 0) & (F.col("_mix.turns") + F.col("_mix.part") > 0)), "mix-chosen")
+    return rows.join(chosen, "_row").select(*[_taken_text(block).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def _taken_text(block: int) -> Column:
+    """The text by full turns and chosen blocks; ``_mix`` says which."""
+    start, size, turns, part = (F.col(f"_mix.{c}") for c in ("start", "size", "turns", "part"))
+    pieces = F.regexp_extract_all(F.col("text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    inside = F.filter(pieces, lambda _, i: _first(F.floor((start + i) / block), "_mix."))
+    rest = F.when(part == 0, F.array().cast("array<string>")).when(part == size, F.array("text"))
+    rest = rest.otherwise(F.array(F.array_join(inside, "")))
+    return F.array_join(F.concat(F.array_repeat("text", turns.cast("int")), rest), "\n")
 
 
 # The same in DuckDB's SQL.
