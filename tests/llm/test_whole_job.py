@@ -1,10 +1,15 @@
 """Operators and stages do the whole of their job: what they decide and compute is in what they return."""
 
+import zlib
+
+import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from siftgraph.llm import mixing
 
 SF = "/root/testdata/sf0.001"
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def test_mixed_holds_the_mix(spark):
@@ -25,3 +30,19 @@ def test_mixed_holds_the_mix(spark):
     whole = {r.doc_id: r.text for r in docs.where("doc_id is not null").collect()}
     for r in out.where("doc_id is not null and doc_id >= 0").collect():
         assert set(r.text.split()) <= set(whole[r.doc_id].split())
+
+
+def test_last_stage_keeps_the_ids(spark):
+    import sentencepiece
+
+    import corpus_pipeline
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    docs = spark.createDataFrame([(1, "Some words\n here"), (2, None), (3, "é 12!?")], "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["sentencepiece"]
+    rows = corpus_pipeline.cut(stage(spark, docs, SF), "ids-test").collect()
+    assert len(rows) == 3
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in rows:
+        assert len(r.ids) == r.n_ids and zlib.crc32(np.array(r.ids, "<u4")) == r.ids_crc32
+        assert sp.decode(r.ids) == texts[r.doc_id]
