@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import binary_array, flat, mix64, per_worker, ranges, slices, spread
-from .units import UnitPool
 
 NONE = np.int64(1 << 40)
+CHUNK = 200_000  # units walked at once
 WIDE = 48  # symbols; longer units go through a heap, whose work doesn't grow with the square
 
 
@@ -98,12 +98,19 @@ class MergeModel:
         return out, np.diff(at)
 
 
+def candidate(offset: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """What a candidate merge puts into its hash: its place and piece."""
+    return mix64((offset.astype(np.uint64) << np.uint64(32)) | piece.astype(np.uint64))
+
+
+def skipped(key: np.ndarray, mark: np.ndarray, rate: float) -> np.ndarray:
+    """Is the candidate of this mark skipped under the key of its unit's occurrence?"""
+    return (mix64(key ^ mark) >> np.uint64(11)).astype(np.float64) < rate * float(1 << 53)
+
+
 def dropped(key: np.ndarray, offset: np.ndarray, piece: np.ndarray, rate: float) -> np.ndarray:
     """Is this candidate merge skipped? By a hash keyed with the unit's key, place and piece."""
-    with np.errstate(over="ignore"):
-        at = mix64((offset.astype(np.uint64) << np.uint64(32)) | piece.astype(np.uint64))
-        h = mix64(key ^ at)
-    return (h >> np.uint64(11)).astype(np.float64) < rate * float(1 << 53)
+    return skipped(key, candidate(offset, piece), rate)
 
 
 MASK = (1 << 64) - 1
@@ -148,9 +155,13 @@ def by_heap(model: MergeModel, symbols: np.ndarray, key: int, rate: float) -> li
     return out
 
 
-def by_rounds(model: MergeModel, sym: np.ndarray, key: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+def by_rounds(
+    model: MergeModel, sym: np.ndarray, key: np.ndarray, rate: float, log: list | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Many units of up to ``WIDE`` symbols at once, rows filled with -1: each round takes the best
-    candidate of every row off its agenda and merges or drops it. Symbols in place, and counts."""
+    candidate of every row off its agenda and merges or drops it. Symbols in place, and counts.
+
+    ``log`` takes each round's rows with place and piece of their candidates."""
     n, width = sym.shape
     count = (sym != -1).sum(1)
     final = sym.copy()
@@ -172,6 +183,8 @@ def by_rounds(model: MergeModel, sym: np.ndarray, key: np.ndarray, rate: float)
             at = np.arange(len(rows))
             if not len(rows):
                 break
+        if log is not None:
+            log.append((rows, offset[at, j], piece[at, j]))
         if rate:
             skip = dropped(key, offset[at, j], piece[at, j], rate)
             rank[at[skip], j[skip]] = NONE
@@ -208,31 +221,115 @@ def by_rounds(model: MergeModel, sym: np.ndarray, key: np.ndarray, rate: float)
     return final, count
 
 
+def together(n: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], kind=np.int64) -> tuple[np.ndarray, np.ndarray]:
+    """Values of n rows in a row, and how many each has, from parts of (rows, values, counts)."""
+    size = np.zeros(n, np.int64)
+    for at, _, count in parts:
+        size[at] = count
+    begin, out = np.cumsum(size) - size, np.zeros(int(size.sum()), kind)
+    for at, got, count in parts:
+        out[ranges(begin[at], count)] = got
+    return out, size
+
+
+def by_width(symbols: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Units of up to ``WIDE`` symbols by size class: which, and their symbols filled with -1."""
+    first = np.cumsum(n) - n
+    for low, high in ((0, 4), (4, 6), (6, 8), (8, 10), (10, 12), (12, 16), (16, 24), (24, WIDE)):
+        at = np.flatnonzero((n > low) & (n <= high))
+        if len(at):
+            width = int(n[at].max())
+            sym = np.full((len(at), width), -1, np.int64)
+            sym[np.arange(width)[None] < n[at][:, None]] = symbols[ranges(first[at], n[at])]
+            yield at, sym
+
+
 def encode_units(model: MergeModel, units: list[bytes], keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all units in a row, each cut under its key, and how many each has."""
     symbols, n = model.symbols(units)
     first = np.cumsum(n) - n
     parts = []
-    for low, high in ((0, 4), (4, 6), (6, 8), (8, 10), (10, 12), (12, 16), (16, 24), (24, WIDE)):
-        at = np.flatnonzero((n > low) & (n <= high))
-        if not len(at):
-            continue
-        width = int(n[at].max())
-        sym = np.full((len(at), width), -1, np.int64)
-        inside = np.arange(width)[None] < n[at][:, None]
-        sym[inside] = symbols[ranges(first[at], n[at])]
+    for at, sym in by_width(symbols, n):
         sym, count = by_rounds(model, sym, keys[at], rate)
         parts.append((at, *model.to_ids(sym[np.arange(sym.shape[1])[None] < count[:, None]], count)))
     for i in np.flatnonzero(n > WIDE).tolist():
         got = np.array(by_heap(model, symbols[first[i] : first[i] + n[i]], int(keys[i]), rate), np.int64)
         parts.append((np.array([i]), *model.to_ids(got, np.array([len(got)]))))
-    size = np.zeros(len(units), np.int64)
-    for at, _, count in parts:
-        size[at] = count
-    begin, out = np.cumsum(size) - size, np.zeros(int(size.sum()), np.int64)
-    for at, got, count in parts:
-        out[ranges(begin[at], count)] = got
-    return out, size
+    return together(len(units), parts)
+
+
+class Rising:
+    """An array that values are added to."""
+
+    def __init__(self, kind):
+        self.data, self.n = np.zeros(1 << 10, kind), 0
+
+    def __len__(self) -> int:
+        return self.n
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.n + len(values)
+        if end > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.zeros(max(end, 2 * self.n) - self.n, self.data.dtype)])
+        self.data[self.n : end], self.n = values, end
+
+
+class Paths:
+    """The merges of units already met, as they go if none is dropped, and the ids at their end.
+
+    An occurrence draws its own hash for each of these merges, and takes the kept ids only where
+    none of them is dropped; else it is encoded anew under its key. So what is kept decides
+    nothing: every occurrence is cut as ``encode_units`` would. Emptied at ``most`` units; those
+    of more than ``WIDE`` symbols are encoded each time.
+    """
+
+    def __init__(self, model: MergeModel, rate: float, most: int = 800_000):
+        self.model, self.rate, self.most = model, rate, most
+        self._empty()
+
+    def _empty(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.mark_at, self.marks, self.mark = Rising(np.int64), Rising(np.int32), Rising(np.uint64)
+        self.id_at, self.size, self.pool = Rising(np.int64), Rising(np.int32), Rising(np.uint32)
+
+    def _add(self, units: list[bytes]) -> None:
+        symbols, n = self.model.symbols(units)
+        ids, marks = [], []
+        for at, sym in by_width(symbols, n):
+            log: list = []
+            sym, count = by_rounds(self.model, sym, np.zeros(len(at), np.uint64), 0.0, log)
+            ids.append((at, *self.model.to_ids(sym[np.arange(sym.shape[1])[None] < count[:, None]], count)))
+            if log:
+                rows, place, piece = (np.concatenate(x) for x in zip(*log, strict=True))
+                order = np.argsort(rows, kind="stable")
+                marks.append((at, candidate(place[order], piece[order]), np.bincount(rows, minlength=len(at))))
+        got, size = together(len(units), ids)
+        mark, count = together(len(units), marks, np.uint64)
+        self.mark_at.add(len(self.mark) + np.cumsum(count) - count)
+        self.id_at.add(len(self.pool) + np.cumsum(size) - size)
+        self.size.add(np.where(n > WIDE, -1, size))
+        for kept, new in ((self.marks, count), (self.mark, mark), (self.pool, got)):
+            kept.add(new)
+
+    def ids(self, units: pa.Array, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units in a row, each cut under its key, and how many each has."""
+        if len(self.number) > self.most:
+            self._empty()
+        d = pc.dictionary_encode(units)
+        words, before = d.dictionary.to_pylist(), len(self.number)
+        mine = np.fromiter((self.number.setdefault(w, len(self.number)) for w in words), np.int64, len(words))
+        self._add([words[i] for i in np.flatnonzero(mine >= before).tolist()])
+        at = mine[d.indices.to_numpy(zero_copy_only=False)]
+        size = self.size.data[at].astype(np.int64)
+        anew = size < 0
+        if self.rate:
+            n = self.marks.data[at].astype(np.int64)
+            hit = skipped(np.repeat(keys, n), self.mark.data[ranges(self.mark_at.data[at], n)], self.rate)
+            anew[np.repeat(np.arange(len(at)), n)[hit]] = True
+        kept, anew = np.flatnonzero(~anew), np.flatnonzero(anew)
+        got, n = encode_units(self.model, units.take(pa.array(anew)).to_pylist(), keys[anew], self.rate)
+        as_kept = self.pool.data[ranges(self.id_at.data[at[kept]], size[kept])]
+        return together(len(at), [(kept, as_kept, size[kept]), (anew, got, n)])
 
 
 def blank_units(model: MergeModel, column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -252,15 +349,13 @@ def blank_units(model: MergeModel, column: pa.Array) -> tuple[pa.Array, np.ndarr
 
 
 class Encoder:
-    """Ids of whole columns; a unit met again under the same key is looked up."""
+    """Ids of whole columns, each occurrence of a unit cut under a key of its own; with ``variants``
+    under one of so many keys."""
 
-    def __init__(self, model: MergeModel, rate: float, seed: int, variants: int):
+    def __init__(self, model: MergeModel, rate: float, seed: int, variants: int | None = None):
         self.variants = variants
-        with np.errstate(over="ignore"):
-            self.seed = mix64(np.array([seed], np.int64).view(np.uint64))[0]
-            keys = mix64(np.arange(variants, dtype=np.uint64) + self.seed)
-        self.model = model
-        self.pool = UnitPool(lambda units, v: encode_units(model, units, keys[v], rate), np.uint32, variants)
+        self.seed = mix64(np.array([seed], np.int64).view(np.uint64))[0]
+        self.model, self.paths = model, Paths(model, rate)
 
     def __call__(self, names: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and at which id each begins; ``names`` are their doc_ids."""
@@ -268,8 +363,11 @@ class Encoder:
         per_doc = np.diff(at)
         with np.errstate(over="ignore"):
             own = np.repeat(mix64(names.view(np.uint64) ^ self.seed), per_doc)
-            drawn = mix64(own + ranges(np.zeros(len(per_doc), np.int64), per_doc).view(np.uint64))
-        ids, n = self.pool.ids(units, (drawn % np.uint64(self.variants)).astype(np.int64))
+            keys = mix64(own + ranges(np.zeros(len(per_doc), np.int64), per_doc).view(np.uint64))
+            if self.variants:
+                keys = mix64(keys % np.uint64(self.variants) + self.seed)
+        parts = [self.paths.ids(units[i : i + CHUNK], keys[i : i + CHUNK]) for i in range(0, len(units), CHUNK)]
+        ids, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
         return ids, np.concatenate([[0], np.cumsum(n)])[at]
 
 
@@ -284,14 +382,14 @@ def decode(model: MergeModel, ids: np.ndarray, at: np.ndarray) -> pa.Array:
 
 
 def encode_dropout(
-    docs: DataFrame, model_file: str, rate: float = 0.1, seed: int = 1, variants: int = 4, arrays: bool = False
+    docs: DataFrame, model_file: str, rate: float = 0.1, seed: int = 1, arrays: bool = False
 ) -> DataFrame:
     """Encode whole texts by merges, each candidate merge skipped with probability ``rate``.
 
-    Skipping is decided by a hash keyed by ``seed``, one of ``variants`` keys that the document's
-    id and the unit's number in it draw, the place in the unit and the piece. So a rerun gives the
-    same ids, while a word met again is cut in up to ``variants`` ways. At rate 0 the ids are
-    those of the model itself. Every text is decoded again and compared.
+    Skipping is decided by a hash keyed by ``seed``, the document's id, the unit's number in it,
+    the place in the unit and the piece. So a rerun gives the same ids, while every occurrence of
+    a word draws anew. At rate 0 the ids are those of the model itself. Every text is decoded again
+    and compared.
 
     A null or empty text has no ids and decodes to an empty text; a null doc_id draws as 0; rows
     with equal ids are encoded alike. Other columns are not looked at.
@@ -299,8 +397,8 @@ def encode_dropout(
     ids if ``arrays``.
     """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = ("merges", model_file, rate, seed, variants)
-        encoder = per_worker(key, lambda: Encoder(MergeModel(model_file), rate, seed, variants))
+        key = ("merges", model_file, rate, seed)
+        encoder = per_worker(key, lambda: Encoder(MergeModel(model_file), rate, seed))
         model = encoder.model
         for batch in slices(batches, most=16 << 20):
             names, texts = batch.column("doc_id"), batch.column("text")

@@ -4,9 +4,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from siftgraph.llm import mixing
+from siftgraph.llm import merge_dropout, mixing
+from siftgraph.llm.common import mix64, ranges
 
 SF = "/root/testdata/sf0.001"
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -46,3 +48,24 @@ def test_last_stage_keeps_the_ids(spark):
     for r in rows:
         assert len(r.ids) == r.n_ids and zlib.crc32(np.array(r.ids, "<u4")) == r.ids_crc32
         assert sp.decode(r.ids) == texts[r.doc_id]
+
+
+def test_every_occurrence_draws_its_own_drops(monkeypatch):
+    monkeypatch.setattr(merge_dropout, "CHUNK", 1000)
+    model = merge_dropout.MergeModel(PIECES)
+    encoder = merge_dropout.Encoder(model, 0.1, 1)
+    encoder.paths.most = 3  # emptied again and again
+    texts = pa.array(["information the " + "-" * 60 + " é"] * 3000 + [None, "", "日本語 a"])
+    names = np.arange(len(texts))
+    ids, at = encoder(names, texts)
+    units, first = merge_dropout.blank_units(model, texts)
+    per_doc = np.diff(first)
+    with np.errstate(over="ignore"):
+        own = np.repeat(mix64(names.view(np.uint64) ^ encoder.seed), per_doc)
+        keys = mix64(own + ranges(np.zeros(len(per_doc), np.int64), per_doc).view(np.uint64))
+    want, n = merge_dropout.encode_units(model, units.to_pylist(), keys, 0.1)
+    assert ids.tolist() == want.tolist() and np.diff(at).sum() == n.sum()
+    ends = np.cumsum(n)
+    word = [i for i, u in enumerate(units.to_pylist()) if u == b" information"]
+    forms = [tuple(want[ends[i] - n[i] : ends[i]].tolist()) for i in word]
+    assert len(set(forms)) > 4
