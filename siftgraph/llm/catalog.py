@@ -47,7 +47,7 @@ def _mix(spark, sf):
 @query("op4_token_files")
 def _tokens(spark, sf):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return token_arrow.token_files(spark, table(spark, sf, "documents"), path)
+    return token_arrow.token_files(spark, table(spark, sf, "documents"), path, plain=False)
 
 
 @query("op5_ngram_join")

@@ -24,18 +24,24 @@ SEQUENCE = 1024
 BATCH = 256
 
 
-def unit_pool(tokenizer_file: str, end_id: int) -> UnitPool:
-    """Encoded units; ids take two bytes where all of them fit."""
-    encode, vocabulary = unit_encoder(tokenizer_file)
-    return UnitPool(encode, np.uint16 if max(vocabulary, end_id + 1) <= 1 << 16 else np.uint32)
+def unit_pool(tokenizer_file: str, end_id: int, plain: bool) -> tuple[UnitPool, list[str]]:
+    """Encoded units, and the texts that must be units; ids take two bytes where all of them fit."""
+    encode, vocabulary, literals = unit_encoder(tokenizer_file, plain)
+    return UnitPool(encode, np.uint16 if max(vocabulary, end_id + 1) <= 1 << 16 else np.uint32), literals
 
 
-def unit_encoder(tokenizer_file: str):
+def unit_encoder(tokenizer_file: str, plain: bool):
+    """How to encode units, the number of ids, and the added tokens that a text may hold: none if
+    ``plain``, as their strings are ordinary text then."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_file)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    tokenizer.encode_special_tokens = plain
+    added = tokenizer.get_added_tokens_decoder().values()
+    if any(t.lstrip or t.rstrip or t.single_word or t.normalized and tokenizer.normalizer for t in added):
+        raise ValueError("an added token that takes in or depends on the text beside it can't be a unit")
+    literals = [t.content for t in added if not (plain and t.special)]
     size = tokenizer.get_vocab_size()
 
     def encode(units: list[bytes], _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +49,7 @@ def unit_encoder(tokenizer_file: str):
         n = np.fromiter(map(len, got), np.int64, len(got))
         return np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum())), n
 
-    return encode, size
+    return encode, size, literals
 
 
 class SequenceWriter:
@@ -85,17 +91,20 @@ class SequenceWriter:
 
 
 def write_tokens(
-    docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 2, length: int = SEQUENCE
+    docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 2, length: int = SEQUENCE, plain: bool = True
 ) -> DataFrame:
     """Encode all texts in ascending order of doc_id and write them as Arrow files in ``folder``.
 
     Each range of ids is a task of its own and makes a pair of files: ``.ids.arrow`` with the
     sequences, ``.docs.arrow`` with each document's id, place and length in them. Ids that fit
     take two bytes, else four. Null texts are empty and have the end id alone; null doc_ids come
-    first; rows of equal doc_id keep together in no given order. Returns part, path, tokens.
+    first; rows of equal doc_id keep together in no given order. The strings of special tokens in
+    a text are ordinary text if ``plain``, else they are those tokens, as the tokenizer is loaded.
+    Returns part, path, tokens.
     """
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool = per_worker(("units", tokenizer_file, end_id), lambda: unit_pool(tokenizer_file, end_id))
+        key = ("units", tokenizer_file, end_id, plain)
+        pool, literals = per_worker(key, lambda: unit_pool(tokenizer_file, end_id, plain))
         kind, part = pa.from_numpy_dtype(pool.kind), TaskContext.get().partitionId()
         path = f"{folder}/part-{part:06d}"
         docs, counts = [], []
@@ -105,7 +114,7 @@ def write_tokens(
             nonlocal total
             writer = SequenceWriter(out, kind, length)
             for batch in slices(batches, most=16 << 20):
-                units, at = cut_units(batch.column("text"))
+                units, at = cut_units(batch.column("text"), literals)
                 got, n = pool.ids(units)
                 ends = np.concatenate([[0], np.cumsum(n)])[at]
                 docs.append(batch.column("doc_id"))

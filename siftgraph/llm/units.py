@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +22,14 @@ LAST[[0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F]] = True
 BEFORE[[0xC2, 0x80, 0x9A, 0x81]] = True
 
 
-def cut_units(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def cut_units(column: pa.Array, literals: Sequence[str] = ()) -> tuple[pa.Array, np.ndarray]:
     """Units of all texts (binary), and at which unit each text begins and ends.
 
     A unit is a run of white space and what follows it up to the next: it begins at a white space
     byte behind a character that is surely none, or where a text begins. Where that is in doubt
     the unit just goes on. Punctuation behind an ASCII letter begins one too, as the tokenizer's
-    pattern never joins the two.
+    pattern never joins the two. Each of ``literals`` in a text is a unit of its own: the
+    leftmost first, of those that begin together the longest.
     """
     at, data = flat(column)
     if not len(data):
@@ -38,6 +40,18 @@ def cut_units(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     maybe[1:] &= space[1:] | BEFORE[data[:-1]]
     edge[1:] = space[1:] & ~maybe[:-1] | MARK[data[1:]] & LETTER[data[:-1]]
     edge[at[:-1][at[:-1] < len(data)]] = True
+    if literals:
+        text = column.cast(pa.large_string())
+        held = np.zeros(len(text), bool)
+        for x in literals:
+            held |= pc.fill_null(pc.match_substring(text, x), False).to_numpy(zero_copy_only=False)
+        forms = re.compile(b"|".join(re.escape(x.encode()) for x in sorted(literals, key=len, reverse=True)))
+        for i in np.flatnonzero(held).tolist():
+            for m in forms.finditer(data[at[i] : at[i + 1]].tobytes()):
+                a, b = at[i] + m.start(), at[i] + m.end()
+                edge[a:b] = False
+                edge[a] = True
+                edge[b : b + 1] = True
     starts = np.flatnonzero(edge)
     units = binary_array(data, np.append(starts, len(data)))
     return units, np.searchsorted(starts, at)

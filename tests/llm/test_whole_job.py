@@ -7,9 +7,11 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from siftgraph.llm import merge_dropout, mixing
+from siftgraph.llm import catalog, merge_dropout, mixing
 from siftgraph.llm.common import mix64, ranges
 
+from . import brute
+
 SF = "/root/testdata/sf0.001"
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -69,3 +71,18 @@ def test_every_occurrence_draws_its_own_drops(monkeypatch):
     word = [i for i, u in enumerate(units.to_pylist()) if u == b" information"]
     forms = [tuple(want[ends[i] - n[i] : ends[i]].tolist()) for i in word]
     assert len(set(forms)) > 4
+
+
+def test_token_files_are_as_the_tokenizer_is_loaded(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    texts = [
+        f"end {end} next", f"{end}{end}a", f"a  {end}\n\n b", f"x{end}", "<|endof", "text|> y", None, "", end,
+        f"hi's<|{end}|> é　{end}é", f"\u0085{end} \t{end}", "a|b <|x|>",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["op4_token_files"](spark, str(tmp_path))
+    loaded = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert sorted(map(tuple, got.collect())) == brute.tokens(loaded, list(enumerate(texts)))
