@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import binary_array, flat, mix64, per_worker, ranges, slices, spread
 
 NONE = np.int64(1 << 40)
-CHUNK = 200_000  # units walked at once
+CHUNK = 50_000  # units walked at once
 WIDE = 48  # symbols; longer units go through a heap, whose work doesn't grow with the square
 
 
@@ -400,7 +400,7 @@ def encode_dropout(
         key = ("merges", model_file, rate, seed)
         encoder = per_worker(key, lambda: Encoder(MergeModel(model_file), rate, seed))
         model = encoder.model
-        for batch in slices(batches, most=16 << 20):
+        for batch in slices(batches, most=4 << 20):
             names, texts = batch.column("doc_id"), batch.column("text")
             ids, at = encoder(names.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), texts)
             small = ids.astype("<u4")
