@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc_warc, crf_langid, exact_dedup, gru_toxicity, merge_dropout, mixing, pivot_topk, suffix_dedup, token_arrow, trie_join
+from . import (
+    arc_warc, collocations, crf_langid, exact_dedup, gru_toxicity, merge_dropout, mixing, pivot_topk, prefix_trie, sharding,
+    suffix_dedup, token_arrow, trie_join,
+)
 from .common import hash_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +86,18 @@ def _toxicity(spark, sf):
     docs, held = table(spark, sf, "documents"), hash_fold("doc_id", 3) == 1
     found = gru_toxicity.toxicity(docs, gru_toxicity.fit(docs, table(spark, sf, "labels"), ~held))
     return found.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@query("op11_phrase_streams", collocations.SQL)
+def _phrases(spark, sf):
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
+@query("op12_conversation_trie", prefix_trie.SQL)
+def _conversations(spark, sf):
+    return prefix_trie.conversation_trie(table(spark, sf, "conversations"))
+
+
+@query("op13_rendezvous_shards", sharding.SQL)
+def _shards(spark, sf):
+    return sharding.shard_rows(table(spark, sf, "documents"))
