@@ -22,7 +22,7 @@ def hot_split_join(
     keys = list(keys)
     shares = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = counted.agg(F.sum(rows)).scalar()
-    parts = F.greatest(F.ceil(F.col(rows) * shares / F.col("_total")), F.lit(1)).cast("int")
+    parts = F.greatest(F.ceil(F.try_divide(F.col(rows) * shares, "_total")), F.lit(1)).cast("int")
     sized = counted.withColumn("_total", total).withColumn("_parts", parts).drop("_total")
     hot = sized.where(F.col("_parts") > 1).select(*keys, "_parts")
     salt = F.pmod(F.xxhash64(spread_by), F.coalesce("_parts", F.lit(1))).cast("int")
