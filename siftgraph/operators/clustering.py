@@ -11,7 +11,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,9 +19,10 @@ from ..functions.vectors import l2_normalize
 from ..session import cut
 from .blocks import block_cogroup, matrix
 from .joins import hot_split_join
+from .linkage import linkage_levels, single_linkage
 from .neighbours import knn_join, points_of
 from .ordering import number_rows
-from .spanning import connected_components, jump_to_roots, reachability_mst
+from .spanning import jump_to_roots, reachability_mst
 from .vectors import vector_sums
 
 
@@ -262,28 +263,20 @@ def density_cluster(
     emb: DataFrame,
     min_cluster_size: int = 5,
     min_samples: int = 3,
-    levels: int = 64,
     id_col: str = "paper_id",
     vec_col: str = "vector",
     out: str = "hdbscan_cluster",
 ) -> DataFrame:
     """Density clusters of the unit vectors with noise as -1, by excess of mass.
 
-    The tree of mutual reachability distances is exact. Its distances are then rounded up to at
-    most ``levels`` values (quantiles of the tree's edges), and the hierarchy is read at those.
-    With no more distinct distances than levels the hierarchy is exact too.
+    The tree of mutual reachability distances and the hierarchy read from it are exact at every
+    size. Merges at one distance are one step, so their order does not matter. Clusters are
+    numbered by their smallest ids.
     """
     points = cut(points_of(emb, id_col, vec_col, None), "points")
-    near = knn_join(points, min_samples, -2.0, id_col="id", vec_col="vec")
-    core = near.groupBy(F.col("src").alias("id")).agg(
-        F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * F.min("sim"))).alias("core")
-    )
-    edges = cut(reachability_mst(points, core), "tree")
-    labels = _density_labels(edges, min_cluster_size, levels)
-    if labels is None:
-        return points.select(F.col("id").alias(id_col), F.lit(-1).alias(out))
-    heads = number_rows(labels.select("head").distinct(), [F.col("head")], "_n")
-    named = labels.join(heads, "head").select("id", F.col("_n").cast("int").alias(out))
+    labels = _density_labels(reachability_tree(points, min_samples), min_cluster_size)
+    heads = number_rows(labels.groupBy("head").agg(F.min("least").alias("least")), [F.col("least")], "_n")
+    named = labels.join(heads.select("head", "_n"), "head").select("id", F.col("_n").cast("int").alias(out))
     return (
         points.select("id")
         .join(named, "id", "left")
@@ -291,57 +284,53 @@ def density_cluster(
     )
 
 
-def _levels(edges: DataFrame, levels: int) -> list[float]:
-    distances = edges.select("dist").distinct().limit(levels + 1)
-    if distances.count() <= levels:
-        return sorted(r["dist"] for r in distances.collect())
-    steps = F.array(*[F.lit((i + 1) / levels) for i in range(levels)])
-    row = edges.agg(F.percentile_approx("dist", steps, 100000).alias("q"), F.max("dist").alias("m"))
-    found = row.first()
-    return sorted({*found["q"], found["m"]})
-
-
-def _density_labels(edges: DataFrame, size: int, levels: int) -> DataFrame | None:
-    """(id, head) of the rows in a selected cluster; None when nothing can be selected."""
-    eps = _levels(edges, levels)
-    top = len(eps) - 1
-    if top < 1:
-        return None
-    ladder = F.array(*[F.lit(e) for e in eps])
-    first = F.aggregate(
-        ladder, F.lit(0), lambda n, e: n + F.when(e < F.col("dist"), 1).otherwise(0)
-    )
-    # One graph holding all levels: an edge is present from its own level up.
-    spread = edges.withColumn("lvl", F.explode(F.sequence(first, F.lit(top))))
-    graph = spread.select(F.struct("lvl", "u").alias("u"), F.struct("lvl", F.col("v").alias("u")).alias("v"))
-    comps = connected_components(graph)
-    node = comps.select(
-        F.col("node.lvl").alias("lvl"), F.col("node.u").alias("id"), F.col("comp.u").alias("comp")
-    )
-    node = cut(node, "levels")
-    big = node.groupBy("lvl", "comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= size)
-    above = node.select((F.col("lvl") - 1).alias("lvl"), F.col("id").alias("comp"), F.col("comp").alias("up"))
-    big = cut(big.join(above, ["lvl", "comp"], "left"), "big")
-    rivals = big.groupBy("lvl", "up").agg(F.count(F.lit(1)).alias("rivals"))
-    big = big.join(rivals, ["lvl", "up"], "left").withColumn(
-        "born", F.col("up").isNull() | (F.col("rivals") > 1)
+def reachability_tree(points: DataFrame, min_samples: int = 3) -> DataFrame:
+    """Spanning tree (u, v, dist) of ``points`` (id, grp, vec) by mutual reachability: the largest
+    of two rows' distance and their distances to the ``min_samples``-th nearest other row."""
+    near = knn_join(points, min_samples, -2.0, id_col="id", vec_col="vec")
+    core = near.groupBy(F.col("src").alias("id")).agg(
+        F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * F.min("sim"))).alias("core")
     )
-    # A part that is the only large one left of its parent is the same cluster, one level down.
-    own = F.struct("lvl", "comp")
-    parent = F.struct((F.col("lvl") + 1).alias("lvl"), F.col("up").alias("comp"))
-    big = cut(big.select("lvl", "n", "up", own.alias("c"), parent.alias("p"), "born"), "big")
-    chains = jump_to_roots(big.select("c", F.when(F.col("born"), F.col("c")).otherwise(F.col("p")).alias("r")))
-    density = F.array(*[F.lit(1.0 / max(e, 1e-10)) for e in eps], F.lit(0.0))
-    gain = F.col("n") * (density[F.col("lvl")] - density[F.col("lvl") + 1])
-    mass = big.join(chains, "c").groupBy("r").agg(F.sum(gain).alias("mass"))
-    up = big.where("born").select(F.col("c").alias("r"), "up", "p").join(
-        chains.select(F.col("c").alias("p"), F.col("r").alias("outer")), "p", "left"
+    return cut(reachability_mst(points, core), "tree")
+
+
+def _density_labels(edges: DataFrame, size: int) -> DataFrame:
+    """(id, head, least) of the rows in a selected cluster, from a spanning tree's edges."""
+    tops, held = linkage_levels(single_linkage(edges), size)
+    rivals = tops.groupBy("up").agg(F.count(F.lit(1)).alias("rivals")).where("up is not null")
+    # The only large part of its parent is the same cluster, one step down.
+    born = F.coalesce(F.col("rivals") > 1, F.lit(True))
+    big = cut(tops.join(rivals, "up", "left").withColumn("born", born), "big")
+    chains = jump_to_roots(big.select(F.col("t").alias("c"), F.when(F.col("born"), F.col("t")).otherwise(F.col("up")).alias("r")))
+
+    def density(dist: str) -> Column:
+        return 1.0 / F.greatest(F.col(dist), F.lit(1e-10))
+
+    gain = F.col("n") * (density("dist") - F.coalesce(density("up_dist"), F.lit(0.0)))
+    met = big.join(chains, F.col("t") == F.col("c"))
+    mass = met.groupBy("r").agg(F.sum(gain).alias("mass"))
+    heads = big.where("born").select(F.col("t").alias("r"), "up", "least").join(
+        chains.select(F.col("c").alias("up"), F.col("r").alias("outer")), "up", "left"
     )
-    tree = cut(mass.join(up.select("r", F.when(F.col("up").isNotNull(), F.col("outer")).alias("outer")), "r"), "clusters")
-    picked = _excess_of_mass(tree)
-    heads = picked.where("picked").select(F.col("r.lvl").alias("lvl"), F.col("r.comp").alias("comp"), F.col("r").alias("head"))
-    # Selected candidates that hold a row are nested; the outermost is the final one.
-    return node.join(heads, ["lvl", "comp"]).groupBy("id").agg(F.max_by("head", "lvl").alias("head"))
+    tree = cut(mass.join(heads.select("r", "outer", "least"), "r"), "clusters")
+    picked = _excess_of_mass(tree.select("r", "mass", "outer"))
+    final = _outermost(cut(picked.select("r", "outer", "picked"), "picked"))
+    rows = held.join(chains.select(F.col("c").alias("t"), "r"), "t").join(final, "r")
+    least = tree.select(F.col("r").alias("head"), "least")
+    return cut(rows.select(F.col("point").alias("id"), "head").join(least, "head"), "labels")
+
+
+def _outermost(picked: DataFrame) -> DataFrame:
+    """(r, head): for each cluster the outermost picked one around it or itself, if there is one.
+
+    Strides double: ``head`` is the outermost picked among those up to where ``to`` points.
+    """
+    steps = cut(picked.select("r", F.col("outer").alias("to"), F.when(F.col("picked"), F.col("r")).alias("head")), "outer")
+    while not steps.where("to is not null").isEmpty():
+        ahead = steps.select(F.col("r").alias("to"), F.col("to").alias("_to"), F.col("head").alias("_head"))
+        steps = steps.join(ahead, "to", "left").select("r", F.col("_to").alias("to"), F.coalesce("_head", "head").alias("head"))
+        steps = cut(steps, "outer")
+    return steps.where("head is not null").select("r", "head")
 
 
 def _excess_of_mass(tree: DataFrame) -> DataFrame:

@@ -196,7 +196,8 @@ def knn_join(
     points = points_of(emb, id_col, vec_col, within)
     distinct = cut(distinct_vectors(points, k + 1), "vectors")
     large = large_groups(distinct, block_rows)
-    pivots = _pivots(distinct, large, block_rows, max_pivots)
+    # From a similarity of -1 on every vector may match any other, so there is nothing to prune.
+    pivots = _pivots(distinct, large, block_rows, max_pivots) if min_sim > -1.0 else None
     routed = _route(distinct, large, pivots, min_sim)
     if pivots is not None:
         routed = cut(routed, "routed")

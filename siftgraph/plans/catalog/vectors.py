@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions.vectors import cosine, l2_normalize
-from ...operators import clustering, neighbours, ordering, semantic, spanning
+from ...operators import clustering, linkage, neighbours, ordering, semantic, spanning
 from ...operators import vectors as vec
+from ...session import cut
 from ...sources.tables import update_by_key
 from .base import MST, embeddings, papers, query, seeds, table
 
@@ -271,7 +272,56 @@ def ward(spark, sf):
 
 @query("density_cluster")
 def density_cluster(spark, sf):
-    return clustering.density_cluster(embeddings(spark, sf), levels=32)
+    return clustering.density_cluster(embeddings(spark, sf))
+
+
+# Mutual reachability, its spanning tree by growing one, and all components at each of its distances.
+_LEVELS = """, core AS (
+  SELECT src, sqrt(greatest(0.0, 2 - 2 * min(s))) AS core FROM (
+    SELECT src, round(sim, 12) AS s, row_number() OVER (PARTITION BY src ORDER BY round(sim, 9) DESC, dst) AS k FROM pairs)
+  WHERE k <= 3 GROUP BY src),
+ids AS (SELECT id, row_number() OVER (ORDER BY id) AS i FROM unit),
+reach AS (
+  SELECT a.i, list(coalesce(greatest(x.core, y.core, sqrt(greatest(0.0, 2 - 2 * round(p.sim, 12)))), CAST('inf' AS DOUBLE)) ORDER BY b.i) AS row
+  FROM ids a CROSS JOIN ids b LEFT JOIN pairs p ON p.src = a.id AND p.dst = b.id
+  LEFT JOIN core x ON x.src = a.id LEFT JOIN core y ON y.src = b.id GROUP BY a.i),
+prim AS (
+  SELECT 0 AS step, CAST(1 AS BIGINT) AS last, list_transform(row, lambda x: CAST('inf' AS DOUBLE)) AS best,
+    list_transform(row, lambda x: CAST(0 AS BIGINT)) AS frm, CAST(NULL AS DOUBLE) AS d, CAST(NULL AS BIGINT) AS u
+  FROM reach WHERE i = 1
+  UNION ALL
+  SELECT step + 1, nxt, nb, nf, nb[nxt], nf[nxt] FROM (
+    SELECT step, nb, nf, CAST(list_position(nb, list_min(nb)) AS BIGINT) AS nxt FROM (
+      SELECT step, list_transform(row, lambda x, j: CASE WHEN best[j] IS NULL OR j = last THEN NULL ELSE least(x, best[j]) END) AS nb,
+        list_transform(row, lambda x, j: CASE WHEN x < best[j] THEN last ELSE frm[j] END) AS nf
+      FROM prim JOIN reach r ON r.i = prim.last)
+    WHERE list_min(nb) IS NOT NULL)),
+tree AS (SELECT u, last AS v, d, row_number() OVER (ORDER BY d, step) AS k FROM prim WHERE step > 0),
+steps AS (
+  SELECT CAST(0 AS BIGINT) AS k, (SELECT list(i ORDER BY i) FROM ids) AS labels
+  UNION ALL
+  SELECT t.k, list_transform(labels, lambda x: CASE WHEN x = labels[t.u] OR x = labels[t.v] THEN least(labels[t.u], labels[t.v]) ELSE x END)
+  FROM steps s JOIN tree t ON t.k = s.k + 1),
+comps AS (
+  SELECT DISTINCT l.d, labels[t.u] AS c, len(list_filter(labels, lambda x: x = labels[t.u])) AS n, l.k
+  FROM tree t JOIN (SELECT d, max(k) AS k FROM tree GROUP BY d) l ON t.d = l.d JOIN steps s ON s.k = l.k)
+"""
+
+
+@query(
+    "linkage_levels",
+    _LEVELS
+    + """SELECT round(a.d, 6) AS dist, least.id AS least, a.n, round(min(b.d), 6) AS up_dist
+    FROM comps a JOIN ids least ON least.i = a.c
+    LEFT JOIN (SELECT comps.*, labels FROM comps JOIN steps USING (k)) b ON b.d > a.d AND b.labels[a.c] = b.c
+    GROUP BY a.d, least.id, a.n""",
+    "pairs",
+)
+def linkage_levels(spark, sf):
+    """Components of the mutual reachability graph, each from and to the distance where it ends."""
+    points = cut(neighbours.points_of(embeddings(spark, sf), "paper_id", "vector", None), "points")
+    tops, _ = linkage.linkage_levels(linkage.single_linkage(clustering.reachability_tree(points)))
+    return tops.select(F.round("dist", 6).alias("dist"), "least", "n", F.round("up_dist", 6).alias("up_dist"))
 
 
 @query("pca_coords")

@@ -297,7 +297,7 @@ def direct_density(x, size, samples):
 def test_density_equals_direct_hierarchy(spark, seed):
     x = blobs(seed)
     want = direct_density(x, 5, 3)
-    rows = clustering.density_cluster(frame(spark, x), levels=500).orderBy("paper_id").collect()
+    rows = clustering.density_cluster(frame(spark, x)).orderBy("paper_id").collect()
     got = [r["hdbscan_cluster"] for r in rows]
     assert same_partition(got, want) and [g == -1 for g in got] == [w == -1 for w in want]
     assert len(set(got) - {-1}) >= 3
