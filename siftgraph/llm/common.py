@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 8 << 20
@@ -32,6 +32,26 @@ def slices(
     give_back()
 
 
+@contextlib.contextmanager
+def lean(spark: SparkSession, most: int = 4 << 20):
+    """Jobs run inside hand rows to Python in Arrow batches of about ``most`` bytes at most."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or if a column has it the same with as many underscores as it takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def give_back() -> None:
     """Free memory goes back to the system, as an idle worker waits beside busy ones."""
     pa.default_memory_pool().release_unused()
@@ -170,3 +190,29 @@ def gram_buckets(words: pa.Array, orders: tuple[int, ...], buckets: int, affixes
 def hash_fold(doc_id: str, parts: int):
     """Which of ``parts`` folds a document is in, by the CRC-32 of its id as text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
+
+
+class IdFilter:
+    """A Bloom filter of ids with a fixed size, 16 MB: every id of the table passes it, and with far
+    fewer ids than bits hardly any other. What passes still has to be joined."""
+
+    BITS = 1 << 27
+
+    def __init__(self, ids: DataFrame):
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"at": pa.array(np.unique(self.place(batch.column(0).to_numpy())))})
+
+        words = ids.mapInArrow(places, "at long").groupBy(F.shiftright("at", 6).alias("w"))
+        rows = words.agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("b")).toArrow()
+        table = np.zeros(self.BITS // 64, np.uint64)
+        table[rows.column("w").to_numpy()] = rows.column("b").to_numpy().view(np.uint64)
+        self.table = ids.sparkSession.sparkContext.broadcast(table)
+
+    @classmethod
+    def place(cls, ids: np.ndarray) -> np.ndarray:
+        return (mix64(ids.view(np.uint64)) & np.uint64(cls.BITS - 1)).astype(np.int64)
+
+    def passes(self, ids: np.ndarray) -> np.ndarray:
+        at = self.place(ids)
+        return (self.table.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
