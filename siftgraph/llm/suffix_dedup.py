@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import flat, give_back, mix64, slices, spread
+from .common import flat, give_back, lean, mix64, slices, spread
 from .stores import discard, written
 
 LENGTH = 200
 LEVELS = (64, 176, 200)
-CHUNK = 1 << 20
-RUN_BYTES = 12 << 20
+CHUNK = 1 << 19
+RUN_BYTES = 8 << 20
 BASE = 0x9E3779B97F4A7C15
 KEYS = ["k1", "k2"]
 
@@ -112,10 +112,13 @@ def _windows(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo, lo + ((mark >> 2) & 255)
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        whole = [zstandard.decompress(t) for t in batch.column("text").to_pylist()]
-        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(whole, pa.binary()))
+def _unpacked(batches: Iterator[pa.RecordBatch], most: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches with their texts whole again, a few rows at a time."""
+    for all_ in batches:
+        for i in range(0, all_.num_rows, most):
+            batch = all_.slice(i, most)
+            whole = [zstandard.decompress(t) for t in batch.column("text").to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(whole, pa.binary()))
 
 
 def _flagged(texts: DataFrame, k: int, packed: bool) -> tuple[DataFrame, str]:
@@ -183,6 +186,7 @@ def _flagged(texts: DataFrame, k: int, packed: bool) -> tuple[DataFrame, str]:
             held = (t.slice(n - 1, 1), claim[-1], again[-1])
         if held:
             yield from rows(held[0], np.array([held[1]]), np.array([held[2]]), part)
+        give_back()
 
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -420,7 +424,7 @@ def _packed(texts: DataFrame) -> DataFrame:
     """Texts compressed for the shuffle."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in slices(batches, most=CHUNK):
             small = [press.compress(t) for t in batch.column("text").to_pylist()]
             i = batch.schema.get_field_index("text")
             yield batch.set_column(i, "text", pa.array(small, pa.binary()))
@@ -488,7 +492,8 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
         F.lit(0).cast("long").alias("off"),
         "text",
     )
-    spans = repeated(own.select(*KEYS, "off", "text"))
+    with lean(docs.sparkSession):
+        spans = repeated(own.select(*KEYS, "off", "text"))
     mark = F.shiftleft("lo", 10) + F.shiftleft(F.col("hi") - F.col("lo"), 2)
     each = spans.groupBy(*KEYS).agg(F.collect_list(mark).alias("spans"))
     each = each.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "spans")
@@ -514,6 +519,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
             if not texts:
                 del out["kept"]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **out})
+        give_back()
 
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
     return met.select("doc_id", "text", "spans").mapInArrow(strip, ddl)
