@@ -9,7 +9,7 @@ from ...operators.vectors import hashed_encoder
 from ...session import scratch_path
 from ...sources import files, tables
 from ...sources.records import project_record, read_records, valid_records
-from ...streaming.ingest import ingest
+from ...streaming.ingest import harvest, ingest
 from ..stages import CorpusStages
 from .base import embeddings, papers, query, seeds, table
 from .gating import EXACT, FALLBACK, PATTERNS, PREFIXES
@@ -142,6 +142,18 @@ def label_upsert(spark, sf):
     )
 
 
+@query(
+    "bucket_table",
+    f"""{_EVENT_PARTS} SELECT user_id, event_id FROM source UNION ALL
+    SELECT user_id, event_id FROM target WHERE user_id NOT IN (SELECT user_id FROM source)""",
+)
+def bucket_table(spark, sf):
+    """The same merge by parts of the table."""
+    kept = tables.BucketTable(spark, scratch_path(spark, "events"), "user_id long, event_id long", ["user_id"], 8)
+    kept.upsert(_target(spark, sf))
+    return kept.upsert(tables.latest_per_key(_clicks(spark, sf), ["user_id"], _order()))
+
+
 @query(
     "snapshot_table",
     f"""{_EVENT_PARTS} SELECT user_id, event_id FROM source UNION ALL
@@ -229,9 +241,9 @@ def read_labels(spark, sf):
     return files.read_labels(spark, path)
 
 
-def _landed(spark, sf):
+def _landed(spark, sf, path=None, title="Order\n for ", where="true"):
     """Orders as harvested records: half-finished ones deleted, some names incomplete."""
-    path = scratch_path(spark, "landing")
+    path = path or scratch_path(spark, "landing")
     author = F.struct(
         F.concat(F.lit("Clerk "), "o_custkey").alias("keyname"),
         F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_orderpriority")).alias("forenames"),
@@ -240,7 +252,7 @@ def _landed(spark, sf):
         F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey").cast("string"))
         .otherwise(" ").alias("id"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("created"),
-        F.concat(F.lit("Order\n for "), "o_custkey").alias("title"),
+        F.concat(F.lit(title), "o_custkey").alias("title"),
         F.concat(F.lit("  <Total> & "), F.col("o_totalprice").cast("string")).alias("abstract"),
         F.concat(F.lit("cs."), "o_orderstatus").alias("categories"),
         F.struct(F.array(author, author).alias("author")).alias("authors"),
@@ -250,7 +262,7 @@ def _landed(spark, sf):
         F.concat(F.lit("oai:"), "o_orderkey").alias("identifier"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("datestamp"),
     )
-    rows = table(spark, sf, "orders").select(
+    rows = table(spark, sf, "orders").where(where).select(
         header.alias("header"), F.struct(body.alias("arXiv")).alias("metadata")
     )
     pages = rows.repartition(8)
@@ -296,6 +308,44 @@ def ingest_window(spark, sf):
     return ingest(spark, landing, target, checkpoint).select(*_FIELDS)
 
 
+_VALID = "o_orderstatus <> 'P' AND o_orderpriority <> '5-LOW'"
+
+
+@query(
+    "harvest_counts",
+    f"""WITH o AS (SELECT *, {_VALID} AS ok, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders)
+    SELECT 1 AS run, '1990-01-01' AS from_date, '1996-12-31' AS until_date, count(*) AS scanned,
+      count(*) FILTER (WHERE ok) AS valid, count(*) FILTER (WHERE ok AND day <= '1996-12-31') AS saved,
+      count(*) FILTER (WHERE ok AND day > '1996-12-31') AS waiting FROM o
+    UNION ALL SELECT 2, '1996-12-31', '1997-12-31', 0, 0,
+      count(*) FILTER (WHERE ok AND day > '1996-12-31' AND day <= '1997-12-31'),
+      count(*) FILTER (WHERE ok AND day > '1997-12-31') FROM o""",
+)
+def harvest_counts(spark, sf):
+    """Windows and counts of two runs: the second goes on where the first ended, without new pages."""
+    paths = [_landed(spark, sf), scratch_path(spark, "papers_raw"), scratch_path(spark, "harvest")]
+    first = harvest(spark, *paths, until_date="1996-12-31", first_day="1990-01-01")
+    return first.unionByName(harvest(spark, *paths, until_date="1997-12-31"))
+
+
+@query(
+    "harvest_sets",
+    f"""SELECT 'https://arxiv.org/abs/' || o_orderkey AS id, o_orderpriority = '1-URGENT' AS second_run,
+      CASE WHEN o_orderpriority = '1-URGENT' THEN 'Again' WHEN o_custkey % 3 = 0 THEN 'Econ'
+        WHEN o_custkey % 2 = 0 THEN 'Stat' ELSE 'Cs' END || ' for ' || o_custkey AS title
+    FROM orders WHERE {_VALID}""",
+)
+def harvest_sets(spark, sf):
+    """Orders listed in up to three sets, the last of which counts, and some harvested again."""
+    landing, target, state = (scratch_path(spark, n) for n in ("landing", "papers_raw", "harvest"))
+    for name, where in (("econ", "o_custkey % 3 = 0"), ("cs", "true"), ("stat", "o_custkey % 2 = 0")):
+        _landed(spark, sf, f"{landing}/{name}", f"{name.title()} for ", where)
+    harvest(spark, landing, target, state, "1990-01-01", "2005-12-31")
+    _landed(spark, sf, f"{landing}/again/cs", "Again for ", "o_orderpriority = '1-URGENT'")
+    rows = ingest(spark, landing, target, state, "1990-01-01", "2005-12-31")
+    return rows.select("id", F.col("title").startswith("Again").alias("second_run"), "title")
+
+
 @query("all_stages")
 def all_stages(spark, sf):
     """Documents as harvested pages, through every stage to labelled clusters."""

@@ -13,8 +13,8 @@ from ..operators.semantic import DEFAULT_TAU, centroid_filter, classifier_filter
 from ..operators.vectors import EMBEDDING_COLUMNS, Encoder, embed_missing, hashed_encoder, vectors_for
 from ..session import cut
 from ..sources.sinks import export_graph, export_summaries
-from ..sources.tables import CLUSTER_META, EMBEDDINGS, PAPERS, PAPERS_RAW, SnapshotTable
-from ..streaming.ingest import ingest
+from ..sources.tables import CLUSTER_META, EMBEDDINGS, PAPERS, PAPERS_RAW, BucketTable, SnapshotTable
+from ..streaming.ingest import harvest
 from .build_graph import build_graph
 from .label_clusters import label_clusters
 
@@ -30,13 +30,14 @@ class CorpusStages:
     ):
         self.spark, self.root, self.model = spark, root.rstrip("/"), model
         self.encoder = encoder or hashed_encoder()
-        self.raw = SnapshotTable(spark, f"{self.root}/papers_raw", PAPERS_RAW)
+        self.raw = BucketTable(spark, f"{self.root}/papers_raw", PAPERS_RAW, ["id"])
         self.papers = SnapshotTable(spark, f"{self.root}/papers", PAPERS)
         self.embeddings = SnapshotTable(spark, f"{self.root}/embeddings", EMBEDDINGS)
         self.labels = SnapshotTable(spark, f"{self.root}/cluster_meta", CLUSTER_META)
 
     def harvest(self, landing: str, from_date: str | None = None, until_date: str | None = None):
-        return ingest(
+        """Take new pages; returns the run's window and counts."""
+        return harvest(
             self.spark, landing, self.raw.path, f"{self.root}/_harvest", from_date, until_date
         )
 

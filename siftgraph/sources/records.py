@@ -19,17 +19,22 @@ RECORD = (
 def read_records(
     spark: SparkSession, path: str, streaming: bool = False, files_per_batch: int | None = None
 ) -> DataFrame:
-    """One row per ``record`` element, with where and when its page landed."""
+    """One row per ``record`` element, with where and when its page landed.
+
+    Pages may lie in folders below ``path``; ``landed_set`` is the name of a page's own folder.
+    """
     reader = (spark.readStream if streaming else spark.read).format("xml")
     if streaming and files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return (
         reader.option("rowTag", "record")
         .option("mode", "PERMISSIVE")
+        .option("recursiveFileLookup", True)
         .schema(RECORD)
         .load(path)
         .withColumn("landed_at", F.col("_metadata.file_modification_time"))
         .withColumn("landed_in", F.col("_metadata.file_name"))
+        .withColumn("landed_set", F.regexp_extract(F.col("_metadata.file_path"), "([^/]*)/[^/]*$", 1))
     )
 
 
@@ -59,7 +64,7 @@ def project_record(df: DataFrame) -> DataFrame:
         ),
     )
     number = _text(f"{body}.id")
-    carried = [c for c in ("landed_at", "landed_in") if c in df.columns]
+    carried = [c for c in ("landed_at", "landed_in", "landed_set") if c in df.columns]
     return df.select(
         F.concat(F.lit(ABSTRACT_URL), number).alias("id"),
         _text(f"{body}.title").alias("title"),

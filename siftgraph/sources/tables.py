@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
+
 # Schemas as DDL, so that importing needs no session.
 PAPERS_RAW = (
     "id string, title string, authors string, published string, summary string, link string, "
@@ -197,3 +199,55 @@ class SnapshotTable:
 
     def _folder(self, number: int) -> str:
         return f"{self.path}/v{number:08d}"
+
+
+class BucketTable:
+    """A keyed table in ``buckets`` parts by hash of the key, of which a merge rewrites those it touches.
+
+    The parts are Hive partitions of plain Parquet and are replaced by Spark's dynamic partition
+    overwrite, so every other part keeps its files. The merged rows are written aside first; a part
+    is only exchanged once they are complete, and a merge that is repeated gives the same table. A
+    reader that began before must not go on reading a part that has been exchanged since.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: Sequence[str], buckets: int = 64):
+        self.spark, self.keys, self.buckets = spark, list(keys), buckets
+        self.path = path.rstrip("/")
+        # Parts of another number of buckets would not be found again.
+        self.folder = f"{self.path}/buckets-{buckets}"
+        self.schema = T.StructType.fromDDL(schema)
+        self._stored = T.StructType([*self.schema.fields, T.StructField("_bucket", T.IntegerType())])
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def read(self, buckets: Sequence[int] | None = None) -> DataFrame:
+        """All rows, or those of some parts; the others are not opened."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(self._stored).parquet(self.folder)
+        if buckets is not None:
+            rows = rows.where(F.col("_bucket").isin(list(buckets)))
+        return rows.drop("_bucket")
+
+    def touched(self, source: DataFrame) -> list[int]:
+        """Parts that hold or would hold the source's keys: at most ``buckets`` numbers."""
+        found = source.select(self._bucket().alias("b")).distinct().collect()
+        return sorted(r["b"] for r in found)
+
+    def upsert(self, source: DataFrame, **how) -> DataFrame:
+        """The table after ``upsert`` of ``source``; ``prune`` would concern all parts and is refused."""
+        if how.get("prune"):
+            raise ValueError("a merge by parts cannot prune")
+        source = cut(source, "merge-source")
+        parts = self.touched(source)
+        if parts:
+            merged = upsert(self.read(parts), source, self.keys, **how)
+            columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]
+            whole = ensure_columns(merged, self.schema).select(*columns)
+            whole = cut(whole.withColumn("_bucket", self._bucket()), "merged")
+            whole.repartition(len(parts), "_bucket").write.mode("overwrite").option(
+                "partitionOverwriteMode", "dynamic"
+            ).partitionBy("_bucket").parquet(self.folder)
+        return self.read()

@@ -1,8 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from siftgraph.sources import files, tables
 from siftgraph.sources.records import project_record, read_records, valid_records
-from siftgraph.streaming.ingest import flat_records, ingest
+from siftgraph.streaming.ingest import Harvest, flat_records, harvest, ingest
 
 
 def rows(df, *cols):
@@ -139,6 +140,70 @@ def test_record_outside_one_window_is_there_for_a_later_run(spark, tmp_path):
     assert ingest(spark, *paths, until_date="2021-06-01").where("title = 'newer'").count() == 1
 
 
+def test_harvest_goes_on_where_it_ended(spark, tmp_path):
+    landing = tmp_path / "landing"
+    for name in ("cs", "stat", "econ", "other"):
+        (landing / name).mkdir(parents=True)
+    (landing / "econ" / "a.xml").write_text(PAGE.format(record("1", "econ", day="2006-01-01") + record("9", "old", day="2001-01-01")))
+    (landing / "cs" / "z.xml").write_text(PAGE.format(record("1", "cs", day="2006-01-01") + record("2", "cs", day="2007-01-01")))
+    (landing / "other" / "z.xml").write_text(PAGE.format(record("2", "other", day="2007-01-01") + record("3", status="deleted")))
+    (landing / "stat" / "b.xml").write_text(PAGE.format(record("2", "stat", day="2009-01-01")))
+    paths = [str(landing), str(tmp_path / "table"), str(tmp_path / "state")]
+    one = harvest(spark, *paths, until_date="2008-01-01")
+    # From the first day of all; a later set wins, in whatever order pages landed.
+    assert rows(one, "*") == [(1, "2005-09-16", "2008-01-01", 7, 6, 4, 2)]
+    found = Harvest(spark, *paths)
+    assert rows(found.table.read(), "id", "title") == [("https://arxiv.org/abs/1", "econ"), ("https://arxiv.org/abs/2", "cs")]
+    (landing / "cs" / "n.xml").write_text(PAGE.format(record("4", day="2008-06-01")))
+    two = harvest(spark, *paths)
+    assert rows(two, "run", "from_date", "scanned", "saved", "waiting") == [(2, "2008-01-01", 1, 2, 1)]
+    assert rows(found.table.read(), "title") == [("T",), ("econ",), ("stat",)]
+    # What lies before every window waits, and an open one takes it.
+    assert ingest(spark, *paths).count() == 4
+    assert rows(found.runs(), "run", "waiting") == [(1, 2), (2, 1), (3, 0)]
+
+
+def test_harvest_repeats_what_failed(spark, tmp_path, monkeypatch):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    (landing / "a.xml").write_text(PAGE.format(record("1") + record("2", day="2030-01-01")))
+    paths = [str(landing), str(tmp_path / "table"), str(tmp_path / "state")]
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(tables.SnapshotTable, "replace", fail)
+        with pytest.raises(RuntimeError):
+            harvest(spark, *paths, until_date="2025-01-01")
+    again = harvest(spark, *paths, until_date="2025-01-01")
+    assert rows(again, "run", "scanned", "saved", "waiting") == [(1, 2, 1, 1)]
+    assert harvest(spark, *paths, until_date="2031-01-01").first().saved == 1
+    assert Harvest(spark, *paths).table.read().count() == 2
+
+
+def test_merge_by_parts_leaves_other_parts_alone(spark, tmp_path):
+    kept = tables.BucketTable(spark, str(tmp_path / "t"), "id string, x int", ["id"], 16)
+    assert kept.read().count() == 0
+    kept.upsert(spark.createDataFrame([(f"k{i}", i) for i in range(200)], "id string, x int"))
+
+    def files():
+        return {str(f.relative_to(tmp_path)): f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+
+    before = files()
+    source = spark.createDataFrame([("k7", 70), ("k7", 71), ("new", None)], "id string, x int")
+    parts = kept.touched(source)
+    merged = rows(kept.upsert(source), "id", "x")
+    assert merged == sorted([(f"k{i}", i) for i in range(200) if i != 7] + [("k7", 71), ("new", None)], key=str)
+    after = files()
+    folders = {f"_bucket={b}" for b in parts}
+    assert len(parts) == 2 and {f for f in before if f not in after} and all(f.split("/")[-2] in folders for f in before.keys() ^ after.keys())
+    assert all(after[f] == t for f, t in before.items() if f.split("/")[-2] not in folders)
+    assert kept.upsert(source.limit(0)).count() == 201 and files() == after
+    with pytest.raises(ValueError):
+        kept.upsert(source, prune=True)
+
+
 def test_side_files(spark, tmp_path):
     (tmp_path / "seeds.txt").write_text("a\n\n  b \na\n\t\n")
     (tmp_path / "labels.csv").write_text("id,label\nx,1\ny,0\n")
