@@ -71,48 +71,30 @@ def _extended(hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
         return mix64(hashes * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
-def _key_hashes(keys: pa.Array) -> np.ndarray:
-    """Hashes of phrases as they are counted (one word, or two)."""
-    at, data = flat(keys)
-    size = np.diff(at)
-    # The words of all keys in a row, with a 0 behind each.
-    ends = np.zeros(len(data) + len(size), np.uint8)
-    ends[ranges(at[:-1] + np.arange(len(size)), size)] = data
-    stops = np.flatnonzero(ends == 0)
-    begin = np.concatenate([[0], stops[:-1] + 1]) if len(stops) else stops
-    words = _hashes(ends, begin, stops - begin)
-    owner = np.searchsorted(at[1:] + np.arange(len(size)), stops)
-    first = np.searchsorted(owner, np.arange(len(size)))
-    two = np.bincount(owner, minlength=len(size)) == 2
-    found = words[first] if len(words) else words
-    found[two] = _extended(found[two], words[first[two] + 1])
-    return found
-
-
 def _bits(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     mask = np.uint64(bits - 1)
     return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)
 
 
 class Sieve:
-    """Which phrases may be frequent: a Bloom filter of those that are, of a fixed size.
+    """Which hashes may be of frequent phrases: a Bloom filter of a fixed size over those that are.
 
     It lets every frequent phrase pass. The rest that it lets pass costs work and is counted.
     """
 
-    def __init__(self, counted: DataFrame, bits: int = SIEVE_BITS):
+    def __init__(self, hashes: DataFrame, bits: int = SIEVE_BITS):
         def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                both = np.unique(np.concatenate(_bits(_key_hashes(batch.column("key")), bits)))
+                both = np.unique(np.concatenate(_bits(batch.column("h").to_numpy().view(np.uint64), bits)))
                 yield pa.RecordBatch.from_pydict({"at": pa.array(both)})
 
-        words = counted.select("key").mapInArrow(places, "at long")
+        words = hashes.select("h").mapInArrow(places, "at long")
         words = words.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("b"))
         rows = words.toArrow()
         table = np.zeros(bits // 64, np.uint64)
         table[rows.column("w").to_numpy()] = rows.column("b").to_numpy().view(np.uint64)
         self.bits = bits
-        self.table = counted.sparkSession.sparkContext.broadcast(table)
+        self.table = hashes.sparkSession.sparkContext.broadcast(table)
 
     def passes(self, hashes: np.ndarray) -> np.ndarray:
         table = self.table.value
@@ -123,8 +105,39 @@ class Sieve:
         return ok
 
 
-def _counted(texts: DataFrame, lengths: tuple[int, ...], words: Sieve | None, pairs: Sieve | None) -> DataFrame:
-    """(lang, m, key, f) of all phrases of these lengths whose words, or pairs, pass."""
+def _word_hashes(words: DataFrame) -> DataFrame:
+    """(h): hashes of counted words."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, data = flat(batch.column("key"))
+            size = np.diff(at)
+            begin = at[:-1] + np.arange(len(size))
+            out = np.zeros(len(data) + len(size), np.uint8)
+            out[ranges(begin, size)] = data
+            yield pa.RecordBatch.from_pydict({"h": pa.array(_hashes(out, begin, size).view(np.int64))})
+
+    return words.select("key").mapInArrow(hashed, "h long")
+
+
+def _pair_hashes(texts: DataFrame, words: Sieve) -> DataFrame:
+    """(h, f): how often pairs of words that pass have each hash, in all languages together."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=SLICE):
+            out, begin, size, piece, _ = _words(batch.column("text"))
+            hashes = _hashes(out, begin, size)
+            ok = words.passes(hashes)
+            some = np.flatnonzero((piece[:-1] == piece[1:]) & ok[:-1] & ok[1:])
+            h, n = np.unique(_extended(hashes[some], hashes[some + 1]), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "f": pa.array(n.astype(np.int64))})
+        give_back()
+
+    return texts.mapInArrow(count, "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
+
+
+def _counted(texts: DataFrame, lengths: tuple[int, ...], pairs: Sieve | None) -> DataFrame:
+    """(lang, key, f) of all phrases of these lengths in which each pair of words passes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE):
@@ -133,14 +146,10 @@ def _counted(texts: DataFrame, lengths: tuple[int, ...], words: Sieve | None, pa
             lang = langs.indices.to_numpy(zero_copy_only=False)[text]
             # How many words from each on may be one phrase.
             reach = np.ones(len(begin), np.int64)
-            if words is not None:
+            if pairs is not None and len(begin):
                 hashes = _hashes(out, begin, size)
-                ok = words.passes(hashes)
-                next_to = (piece[:-1] == piece[1:]) & ok[:-1] & ok[1:]
-                if pairs is not None:
-                    some = np.flatnonzero(next_to)
-                    next_to[some] = pairs.passes(_extended(hashes[some], hashes[some + 1]))
-                stops = np.append(np.flatnonzero(~next_to), len(begin) - 1) if len(begin) else np.zeros(0, np.int64)
+                next_to = (piece[:-1] == piece[1:]) & pairs.passes(_extended(hashes[:-1], hashes[1:]))
+                stops = np.append(np.flatnonzero(~next_to), len(begin) - 1)
                 reach = stops[np.searchsorted(stops, np.arange(len(begin)))] - np.arange(len(begin)) + 1
             for m in lengths:
                 at = np.flatnonzero(reach >= m)
@@ -152,18 +161,11 @@ def _counted(texts: DataFrame, lengths: tuple[int, ...], words: Sieve | None, pa
                 table = pa.table({"lang": lang[at], "key": keys})
                 table = table.group_by(["lang", "key"], use_threads=False).aggregate([("key", "count")])
                 names = langs.dictionary.take(table.column("lang").combine_chunks())
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "lang": names,
-                        "m": pa.array(np.full(len(table), m, np.int32)),
-                        "key": table.column("key").combine_chunks().cast(pa.binary()),
-                        "f": table.column("key_count").combine_chunks(),
-                    }
-                )
+                keys = table.column("key").combine_chunks().cast(pa.binary())
+                yield pa.RecordBatch.from_pydict({"lang": names, "key": keys, "f": table.column("key_count").combine_chunks()})
         give_back()
 
-    rows = texts.mapInArrow(count, "lang string, m int, key binary, f long")
-    return rows.groupBy("lang", "m", "key").agg(F.sum("f").alias("f"))
+    return texts.mapInArrow(count, "lang string, key binary, f long").groupBy("lang", "key").agg(F.sum("f").alias("f"))
 
 
 def phrase_counts(docs: DataFrame, least: int, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -171,23 +173,21 @@ def phrase_counts(docs: DataFrame, least: int, longest: int = LONGEST) -> tuple[
     and (lang, n, rows) of all words.
 
     A phrase is no more frequent than any part of it. So the second pass over the texts counts
-    pairs of words that pass the sieve of frequent words, and the third all longer phrases in
-    which each pair passes the sieve of frequent pairs.
+    hashes of pairs of words that pass the sieve of frequent words, and the third all phrases in
+    which each pair passes the sieve of frequent pairs. Sieves only leave out; counts are of phrases.
     """
     texts = spread(docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text"))
-    words = cut(_counted(texts, (1,), None, None), "phrase-words")
+    words = cut(_counted(texts, (1,), None), "phrase-words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    found = [cut(words.where(F.col("f") >= least), "phrase-frequent")]
+    often = F.col("f") >= least
+    counts = cut(words.where(often), "phrase-frequent")
     if longest > 1:
-        one = Sieve(found[0])
-        found.append(cut(_counted(texts, (2,), one, None).where(F.col("f") >= least), "phrase-pairs"))
-    if longest > 2:
-        longer = _counted(texts, tuple(range(3, longest + 1)), one, Sieve(found[1]))
-        found.append(cut(longer.where(F.col("f") >= least), "phrase-longer"))
-    counts = found[0]
-    for more in found[1:]:
-        counts = counts.unionByName(more)
-    return cut(counts.withColumn("id", F.monotonically_increasing_id()), "phrase-counts"), totals
+        pairs = cut(_pair_hashes(texts, Sieve(_word_hashes(counts))).where(often), "phrase-pairs")
+        counts = counts.unionByName(_counted(texts, tuple(range(2, longest + 1)), Sieve(pairs)).where(often))
+    # As many words as bytes 0 between them, and one.
+    latin = F.decode("key", "ISO-8859-1")
+    m = F.length(latin) - F.length(F.translate(latin, "\0", "")) + 1
+    return cut(counts.select("lang", "key", "f", m.alias("m"), F.monotonically_increasing_id().alias("id")), "phrase-counts"), totals
 
 
 def _parts(counts: DataFrame, key: Column, longest: int, name: str) -> DataFrame:

@@ -34,13 +34,14 @@ def odd(spark):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.sql(f"CREATE VIEW {t} AS FROM read_parquet('{SF}/{t}.parquet')")
     got = catalog.QUERIES[name](spark, SF).toPandas()
     want = con.sql(catalog.ORACLES[name]).df()[list(got.columns)]
     order = list(got.columns[:2])
     got, want = (d.sort_values(order).reset_index(drop=True) for d in (got, want))
-    assert len(got) == len(want) and len(got)
+    # The smallest table has no phrase that is frequent enough.
+    assert len(got) == len(want) and (len(got) or name == "op11_phrase_streams")
     for c in got.columns:
         assert (got[c].fillna(-1) == want[c].fillna(-1)).all(), c
 

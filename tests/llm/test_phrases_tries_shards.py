@@ -77,10 +77,9 @@ def test_phrases_of_few_rows(spark):
 
 
 def test_sieve_keeps_what_is_frequent(spark):
-    words = [w.encode() for w in ("one", "é", "a")]
-    keys = [bytes(b + 1 for b in w) for w in words] + [b"\0".join(bytes(b + 1 for b in w) for w in words[:2])]
-    sieve = collocations.Sieve(spark.createDataFrame([(k,) for k in keys], "key binary"), bits=1 << 20)
-    assert sieve.passes(collocations._key_hashes(pa.array(keys, pa.binary()))).all()
+    words = [bytes(b + 1 for b in w.encode()) for w in ("one", "é", "a")]
+    hashes = collocations._word_hashes(spark.createDataFrame([(w,) for w in words], "key binary"))
+    sieve = collocations.Sieve(hashes, bits=1 << 20)
     out, begin, size, *_ = collocations._words(pa.array(["One é a", "other words here"]))
     assert sieve.passes(collocations._hashes(out, begin, size)).tolist() == [True] * 3 + [False] * 3
 
