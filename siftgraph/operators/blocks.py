@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import cut
+from .joins import hot_split_join
+
 BLOCK_ROWS = 4096
 
 
@@ -37,11 +40,12 @@ def block_cogroup(
     right = right.select(*[F.col(c).alias(c, metadata={}) for c in right.columns])
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
-        n = F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int")
-        return df.groupBy(*key).agg(n.alias(name))
+        n = F.count(F.lit(1))
+        return df.groupBy(*key).agg(n.alias(f"_rows{name}"), F.ceil(n / F.lit(block_rows)).cast("int").alias(f"_n{name}"))
 
-    # One row per key; inner, since a key absent on one side has no pairs.
-    sizes = blocks(left, "_nl").join(blocks(right, "_nr"), key)
+    # One row per key; inner, since a key absent on one side has no pairs. Written, so that the
+    # planner knows its size and a key with a third of all rows is never met whole.
+    sizes = cut(blocks(left, "l").join(blocks(right, "r"), key), "blocks")
 
     def own(id_col: str, n: str) -> Column:
         return F.pmod(F.xxhash64(id_col), F.col(n)).cast("int")
@@ -50,16 +54,16 @@ def block_cogroup(
         return F.explode(F.sequence(first, last))
 
     lefts = (
-        left.join(sizes, key)
+        hot_split_join(left, sizes.drop("_rowsr"), key, "_rowsl", left_id)
         .withColumn("_l", own(left_id, "_nl"))
         .withColumn("_r", others(F.col("_l") if symmetric else F.lit(0), F.col("_nr") - 1))
-        .drop("_nl", "_nr")
+        .drop("_nl", "_nr", "_rowsl")
     )
     rights = (
-        right.join(sizes, key)
+        hot_split_join(right, sizes.drop("_rowsl"), key, "_rowsr", right_id)
         .withColumn("_r", own(right_id, "_nr"))
         .withColumn("_l", others(F.lit(0), F.col("_r") if symmetric else F.col("_nl") - 1))
-        .drop("_nl", "_nr")
+        .drop("_nl", "_nr", "_rowsr")
     )
     at = [*key, "_l", "_r"]
     empty = to_arrow_schema(T.StructType.fromDDL(schema)).empty_table()

@@ -90,47 +90,63 @@ def large_groups(distinct: DataFrame, block_rows: int) -> DataFrame:
     return cut(sizes.where(F.col("n") > block_rows), "large")
 
 
-def _route(
-    distinct: DataFrame, large: DataFrame, pivots: np.ndarray | None, min_sim: float
-) -> DataFrame:
-    """Send each vector to its own cell and to every cell that could hold a match.
+# Rows that leave the routing in one batch.
+_ROUTED = 4096
 
-    A cell is the set of vectors nearest to one pivot. If u lies in cell j and v in cell h, the
-    segment between them crosses the bisector of the two pivots, so v can only match in cell j
-    when its distance to that bisector is within the search radius. Nothing is lost; a strict
-    threshold on clustered data prunes most cells, a loose one on noise prunes none. Groups that
-    fit one block are left whole.
-    """
+
+def _homes(distinct: DataFrame, large: DataFrame, pivots: np.ndarray | None) -> DataFrame:
+    """Each vector with the cell of its nearest pivot; groups that fit one block are left whole."""
     if pivots is None:
-        return distinct.withColumns({"cell": F.lit(0), "home": F.lit(True)})
-    marked = distinct.join(large.select("grp", F.lit(True).alias("large")), "grp", "left")
-    reach = math.sqrt(max(0.0, 2.0 - 2.0 * min_sim))
-    spacing = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * pivots @ pivots.T))
-    shared = distinct.sparkSession.sparkContext.broadcast((pivots, spacing))
+        return distinct.withColumns({"cell": F.lit(0), "large": F.lit(False)})
+    marked = distinct.join(large.select("grp", F.lit(True).alias("large")), "grp", "left").na.fill(False, ["large"])
+    shared = distinct.sparkSession.sparkContext.broadcast(pivots)
 
     def cells(batches):
-        p, gap = shared.value
+        p = shared.value
         for batch in batches:
             table = pa.Table.from_batches([batch])
             if not table.num_rows:
                 continue
-            v = unit_rows(matrix(table, "vec"), NORM_EPS)
-            d2 = (v * v).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2.0 * v @ p.T
-            home = d2.argmin(axis=1)
-            at_home = d2[np.arange(len(v)), home][:, None]
-            near = d2 - at_home <= 2.0 * (reach + 1e-6) * gap[home] + 1e-6
-            fits = table.column("large").is_null().to_numpy(zero_copy_only=False)
-            home[fits] = 0
-            near[fits] = False
-            near[np.arange(len(v)), home] = True
-            row, cell = np.nonzero(near)
-            out = table.take(pa.array(row))
-            out = out.append_column("cell", pa.array(cell.astype(np.int32)))
-            out = out.append_column("home", pa.array(cell == home[row]))
-            yield from out.to_batches()
+            home = (2.0 * unit_rows(matrix(table, "vec"), NORM_EPS) @ p.T - (p * p).sum(axis=1)[None, :]).argmax(axis=1)
+            home[~table.column("large").to_numpy(zero_copy_only=False)] = 0
+            yield from table.append_column("cell", pa.array(home.astype(np.int32))).to_batches()
+
+    return marked.mapInArrow(cells, f"{_fields(marked)}, cell int")
 
-    routed = marked.mapInArrow(cells, f"{_fields(marked)}, cell int, home boolean")
-    return routed.drop("large")
+
+def _reach(homed: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Send each vector to every other cell that could hold a match of at least its ``floor``.
+
+    If u lies in cell j and v in cell h, the segment between them crosses the bisector of the two
+    pivots, so v can only match in cell j when its distance to that bisector is within its own
+    search radius. Nothing is lost. A vector that has found k matches at home searches no wider
+    than the worst of them.
+    """
+    shared = homed.sparkSession.sparkContext.broadcast(pivots)
+
+    def cells(batches):
+        p = shared.value
+        for batch in batches:
+            whole = pa.Table.from_batches([batch])
+            for start in range(0, whole.num_rows, _STRIP):
+                table = whole.slice(start, _STRIP)
+                v = unit_rows(matrix(table, "vec"), NORM_EPS)
+                home = table.column("cell").to_numpy()
+                reach = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * table.column("floor").to_numpy()))
+                d2 = (v * v).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2.0 * v @ p.T
+                # Distances of the pivots met here to all others.
+                mine, which = np.unique(home, return_inverse=True)
+                gap = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * p[mine] @ p.T))[which]
+                near = d2 - d2[np.arange(len(v)), home][:, None] <= 2.0 * (reach[:, None] + 1e-6) * gap + 1e-6
+                near[np.arange(len(v)), home] = False
+                row, cell = np.nonzero(near)
+                table = table.drop_columns(["cell"])
+                for i in range(0, len(row), _ROUTED):
+                    some = table.take(pa.array(row[i : i + _ROUTED]))
+                    yield from some.append_column("cell", pa.array(cell[i : i + _ROUTED].astype(np.int32))).to_batches()
+
+    routed = homed.select("rid", "grp", "vec", "floor", "cell")
+    return routed.mapInArrow(cells, f"{_fields(routed.drop('cell'))}, cell int")
 
 
 def _top_kernel(k: int, min_sim: float, skip_self: bool = True):
@@ -140,16 +156,18 @@ def _top_kernel(k: int, min_sim: float, skip_self: bool = True):
         b = unit_rows(matrix(right, "vec"), NORM_EPS)
         here, there = codes(src, dst) if skip_self else (None, codes(dst, dst)[0])
         slack = 2 * 10.0**-TIE_PLACES
+        floor = left.column("floor").to_numpy() if "floor" in left.column_names else None
         rows, cols, sims = [], [], []
         for start in range(0, len(a), _STRIP):
             s = a[start : start + _STRIP] @ b.T
+            least = np.full(len(s), min_sim) if floor is None else floor[start : start + _STRIP]
             if skip_self:
                 s[here[start : start + _STRIP, None] == there[None, :]] = _NEVER
-            r, c = np.nonzero(s >= min_sim - slack)
+            r, c = np.nonzero(s >= least[:, None] - slack)
             if len(r) > 8 * k * len(s) and k < s.shape[1]:
                 # A loose threshold: drop what is clearly below the k-th of its row.
                 kth = np.partition(s, -k, axis=1)[:, -k]
-                r, c = np.nonzero(s >= np.maximum(kth, min_sim)[:, None] - slack)
+                r, c = np.nonzero(s >= np.maximum(kth, least)[:, None] - slack)
             found = np.round(s[r, c], 12)
             order = np.lexsort((there[c], -np.round(found, TIE_PLACES), r))
             order = order[found[order] >= min_sim]
@@ -190,18 +208,28 @@ def knn_join(
     ``within`` restricts matches to rows with the same value of that column. Copies of a row are
     matches of each other (only the row itself is excluded); ties go to the smaller id.
 
-    Exact copies are collapsed, cells are pruned by the triangle inequality, every cell is split
-    into blocks, and a block pair returns at most k rows per vector.
+    Exact copies are collapsed. A first round looks in each vector's own cell; the k-th match found
+    there is the radius of a second, which prunes the other cells by the triangle inequality. Every
+    cell is split into blocks, and a block pair returns at most k rows per vector. Where nothing can
+    be pruned there are no cells and one round.
     """
     points = points_of(emb, id_col, vec_col, within)
     distinct = cut(distinct_vectors(points, k + 1), "vectors")
     large = large_groups(distinct, block_rows)
     # From a similarity of -1 on every vector may match any other, so there is nothing to prune.
     pivots = _pivots(distinct, large, block_rows, max_pivots) if min_sim > -1.0 else None
-    routed = _route(distinct, large, pivots, min_sim)
-    if pivots is not None:
-        routed = cut(routed, "routed")
-    return _match(points, distinct, routed, k, min_sim, block_rows, repeats=False)
+    homed = _homes(distinct, large, pivots)
+    if pivots is None:
+        return _expanded(points, distinct, _pairs(homed, homed, k, min_sim, block_rows), k, min_sim)
+    homed = cut(homed, "homed")
+    near = cut(_best(_pairs(homed, homed, k, min_sim, block_rows), k), "near")
+    worst = near.groupBy("src").agg(F.count(F.lit(1)).alias("_n"), F.min("sim").alias("_worst"))
+    worst = worst.where(F.col("_n") >= k).select(F.col("src").alias("rid"), "_worst")
+    floor = F.greatest(F.lit(float(min_sim)), F.coalesce("_worst", F.lit(float(min_sim))))
+    wide = homed.where("large").join(worst, "rid", "left").withColumn("floor", floor)
+    routed = cut(_reach(wide, pivots), "routed")
+    far = _pairs(routed, homed.where("large"), k, min_sim, block_rows)
+    return _expanded(points, distinct, near.unionByName(far), k, min_sim)
 
 
 def knn_approx(
@@ -229,7 +257,10 @@ def knn_approx(
     if bits > 30:
         raise ValueError("bits must not exceed 30")
     routed = cut(_hash_cells(distinct, bits, tables if bits else 1, seed), "routed")
-    return _match(points, distinct, routed, k, min_sim, block_rows, repeats=True)
+    found = _pairs(routed, routed, k, min_sim, block_rows)
+    # A pair may meet in several draws.
+    found = found.groupBy("src", "dst").agg(F.any_value("ids").alias("ids"), F.max("sim").alias("sim"))
+    return _expanded(points, distinct, found, k, min_sim)
 
 
 def _hash_cells(distinct: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
@@ -247,41 +278,37 @@ def _hash_cells(distinct: DataFrame, bits: int, tables: int, seed: int) -> DataF
             code = code + (np.arange(tables, dtype=np.int64) << bits)[None, :]
             out = table.take(pa.array(np.repeat(np.arange(len(v)), tables)))
             out = out.append_column("cell", pa.array(code.ravel()))
-            out = out.append_column("home", pa.array(np.ones(code.size, dtype=bool)))
             yield from out.to_batches()
 
-    return distinct.mapInArrow(cells, f"{_fields(distinct)}, cell long, home boolean")
+    return distinct.mapInArrow(cells, f"{_fields(distinct)}, cell long")
 
 
 def _fields(df: DataFrame) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def _match(
-    points: DataFrame,
-    distinct: DataFrame,
-    routed: DataFrame,
-    k: int,
-    min_sim: float,
-    block_rows: int,
-    repeats: bool,
-) -> DataFrame:
-    """Rank inside block pairs, then over them. ``repeats``: a pair may meet in several cells."""
-    id_type = points.schema["id"].dataType.simpleString()
-    found = block_cogroup(
-        routed.select("rid", "grp", "cell", "vec"),
-        routed.where("home").select("rid", "grp", "cell", "vec", "ids"),
+def _pairs(left: DataFrame, right: DataFrame, k: int, min_sim: float, block_rows: int) -> DataFrame:
+    """(src, dst, ids, sim): at most k matches of each row of ``left`` in each block of its cell."""
+    id_type = right.schema["rid"].dataType.simpleString()
+    floor = ["floor"] * ("floor" in left.columns)
+    return block_cogroup(
+        left.select("rid", "grp", "cell", "vec", *floor),
+        right.select("rid", "grp", "cell", "vec", "ids"),
         ["grp", "cell"], "rid", "rid",
         _top_kernel(k, min_sim),
         f"src {id_type}, dst {id_type}, ids array<{id_type}>, sim double",
         block_rows,
     )
-    if repeats:
-        found = found.groupBy("src", "dst").agg(
-            F.any_value("ids").alias("ids"), F.max("sim").alias("sim")
-        )
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("src").orderBy(_rank_key("sim"), "dst")
-    best = found.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+    return found.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+
+
+def _expanded(points: DataFrame, distinct: DataFrame, found: DataFrame, k: int, min_sim: float) -> DataFrame:
+    """The k best over all block pairs, of rows and not of distinct vectors."""
+    best = _best(found, k)
     if distinct.where(F.size("ids") > 1).isEmpty():
         return best.select("src", "dst", "sim")
     return _expand(points, distinct, best, k, min_sim)
