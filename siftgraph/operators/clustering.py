@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -20,6 +16,7 @@ from ..session import cut
 from .blocks import block_cogroup, matrix
 from .joins import hot_split_join
 from .linkage import linkage_levels, single_linkage
+from .lloyd import MAX_CENTER_VALUES, best_centers
 from .neighbours import knn_join, points_of
 from .ordering import number_rows
 from .spanning import jump_to_roots, reachability_mst
@@ -71,29 +68,16 @@ def kmeans_centers(
     n_init: int = 10,
     max_iter: int = 300,
     vec_col: str = "vector",
-    parallelism: int = 8,
 ) -> np.ndarray:
-    """Centres of the run with the least inertia; the runs share the cluster, as in tuning."""
-    rows = cut(emb.select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("v")), "km")
-
-    def run(i: int):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="v").fit(rows)
-        return model.summary.trainingCost, i, np.array(model.clusterCenters())
-
-    with ThreadPool(min(parallelism, n_init)) as pool:
-        runs = pool.map(inheritable_thread_target(emb.sparkSession)(run), range(n_init))
-    return min(runs, key=lambda r: r[:2])[2]
-
-
-# Centres travel inside the plan; this many values (32 MB) is the most that may.
-_MAX_CENTER_VALUES = 4_000_000
+    """Centres of the run with the least inertia; each pass over the rows advances all runs."""
+    return best_centers(emb, k, seed, n_init, max_iter, vec_col)
 
 
 def assign_nearest(
     emb: DataFrame, centers: np.ndarray, vec_col: str = "vector", out: str = "cluster"
 ) -> DataFrame:
     """Add the index of the nearest centre (ties to the smaller); one narrow Arrow pass."""
-    if centers.size > _MAX_CENTER_VALUES:
+    if centers.size > MAX_CENTER_VALUES:
         raise ValueError("too many centres to send to every task; use top_matches instead")
     shared = emb.sparkSession.sparkContext.broadcast(np.asarray(centers, dtype=np.float64))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions.vectors import cosine, l2_normalize
-from ...operators import clustering, linkage, neighbours, ordering, semantic, spanning
+from ...operators import clustering, linkage, lloyd, neighbours, ordering, semantic, spanning
 from ...operators import vectors as vec
 from ...session import cut
 from ...sources.tables import update_by_key
@@ -244,7 +244,37 @@ def kmeans(spark, sf):
 
 @query("kmeans_reduced")
 def kmeans_reduced(spark, sf):
-    return clustering.kmeans(clustering.prepared(embeddings(spark, sf), 16), 8, n_init=2)
+    return clustering.kmeans(clustering.prepared(embeddings(spark, sf), 16), 8)
+
+
+def _moved(n: int) -> str:
+    """Centres after one more pass, from those of pass ``n``."""
+    return f""", near{n} AS (
+  SELECT unit.id, any_value(u) AS u, arg_min(c.cid, (round(list_distance(u, c) * list_distance(u, c), 12), c.cid)) AS cid
+  FROM unit, pass{n} c GROUP BY unit.id),
+pass{n + 1} AS (
+  SELECT cid, list(m ORDER BY pos) AS c FROM (
+    SELECT cid, pos, avg(x) AS m FROM (
+      SELECT cid, unnest(u) AS x, generate_subscripts(u, 1) AS pos FROM near{n}) GROUP BY cid, pos)
+  GROUP BY cid)"""
+
+
+@query(
+    "lloyd",
+    ", pass0 AS (SELECT * FROM centroids)" + "".join(map(_moved, range(4)))
+    + " SELECT cid, generate_subscripts(c, 1) - 1 AS pos, round(unnest(c), 6) + 0.0 AS x FROM pass4",
+    "centroids",
+)
+def lloyd_passes(spark, sf):
+    """Four passes from the centroids of the ten labels."""
+    import numpy as np
+
+    emb = embeddings(spark, sf)
+    rows = vec.centroid(emb, ["cid"]).orderBy("cid").collect()
+    unit = emb.select(l2_normalize(F.col("vector")).alias("vector"))
+    _, moved = lloyd.lloyd(unit, [np.array([r["centroid"] for r in rows])], max_iter=4, tol=0.0)[0]
+    out = [(r["cid"], p, round(float(x), 6) + 0.0) for r, c in zip(rows, moved, strict=True) for p, x in enumerate(c)]
+    return spark.createDataFrame(out, "cid int, pos long, x double")
 
 
 @query(

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.fixed import VECTOR_MODEL
 from ..operators import clustering
 from ..operators.export import summary_rows, summary_scope
 from ..operators.gates import STAGE1_COLUMNS, kept, stage1
 from ..operators.labels import LABEL_COLUMNS, label_rows
-from ..operators.semantic import DEFAULT_TAU, centroid_filter, classifier_filter, stage_counts
+from ..operators.semantic import DEFAULT_TAU, centroid_filter, classifier_filter, similarity_stats, stage_counts
 from ..operators.vectors import EMBEDDING_COLUMNS, Encoder, embed_missing, hashed_encoder, vectors_for
 from ..session import cut
 from ..sources.sinks import export_graph, export_summaries
@@ -30,6 +31,8 @@ class CorpusStages:
     ):
         self.spark, self.root, self.model = spark, root.rstrip("/"), model
         self.encoder = encoder or hashed_encoder()
+        # What the last run of a stage has counted.
+        self.counts: dict[str, dict] = {}
         self.raw = BucketTable(spark, f"{self.root}/papers_raw", PAPERS_RAW, ["id"])
         self.papers = SnapshotTable(spark, f"{self.root}/papers", PAPERS)
         self.embeddings = SnapshotTable(spark, f"{self.root}/embeddings", EMBEDDINGS)
@@ -37,12 +40,19 @@ class CorpusStages:
 
     def harvest(self, landing: str, from_date: str | None = None, until_date: str | None = None):
         """Take new pages; returns the run's window and counts."""
-        return harvest(
+        state = harvest(
             self.spark, landing, self.raw.path, f"{self.root}/_harvest", from_date, until_date
         )
+        self.counts["harvest"] = state.first().asDict()
+        return state
 
     def stage1(self, keep_all: bool = False, prune: bool = False, **rules) -> DataFrame:
-        found = stage1(self.raw.read(), keep_all, **rules)
+        """Copy candidates into the papers; ``counts["stage1"]`` says how many of how many."""
+        scanned, copied = Observation(), Observation()
+        raw = self.raw.read().observe(scanned, F.count(F.lit(1)).alias("n"))
+        found = stage1(raw, keep_all, **rules).observe(copied, F.count(F.lit(1)).alias("n"))
+        found = cut(found, "stage1")
+        self.counts["stage1"] = {"scanned": scanned.get.get("n", 0), "copied": copied.get.get("n", 0)}
         return self.papers.upsert(found, ["id"], update_cols=STAGE1_COLUMNS[:], prune=prune)
 
     def embed(self) -> DataFrame:
@@ -56,7 +66,7 @@ class CorpusStages:
         method: str = "centroid",
         tau: float = DEFAULT_TAU,
     ) -> DataFrame:
-        """Decide which papers stay; returns the stage's counts."""
+        """Decide which papers stay; returns the stage's counts and the scores' statistics."""
         papers, emb = self.papers.read(), self.embeddings.read()
         if method == "centroid":
             if seeds is None:
@@ -68,7 +78,13 @@ class CorpusStages:
             decided = classifier_filter(papers, emb, labels, tau, self.model)
         else:
             raise ValueError(f"unknown method {method!r}")
-        return stage_counts(self.papers.replace(decided))
+        written = self.papers.replace(decided)
+        # Statistics of what was scored now; a paper without a vector keeps an older score.
+        scored = written.where("ai_stage2_keep is not null")
+        stats = similarity_stats(scored).first().asDict()
+        counts = stage_counts(written).withColumns({k: F.lit(v).cast("double") for k, v in stats.items()})
+        self.counts["filter"] = counts.first().asDict()
+        return counts
 
     def cluster(
         self, kmeans: int = 8, agg: int = 8, density_min: int = 5, reduce_dim: int | None = None

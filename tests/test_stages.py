@@ -45,6 +45,11 @@ def test_all_stages_end_to_end(spark, tmp_path):
         topics = papers["id"].str.extract(r"abs/([a-z]+)")[0]
         assert papers.groupby(topics)[column].nunique().max() == 1 and papers[column].nunique() == 3
     assert found.count() == 3 and found.select("label").distinct().count() == 3
+    assert stages.counts["harvest"]["scanned"] == stages.counts["harvest"]["saved"] == 37
+    assert stages.counts["stage1"] == {"scanned": 37, "copied": 36}
+    said, sims = stages.counts["filter"], np.array(papers["ai_sem_sim"])
+    assert (said["scanned"], said["kept"], said["rejected"], said["undecided"]) == (36, 36, 0, 0)
+    assert np.allclose([said[c] for c in ("min", "p10", "median", "p90", "max")], np.percentile(sims, [0, 10, 50, 90, 100]))
     assert list((out / "graph").glob("part-*")) and list((out / "summaries").glob("part-*"))
 
     # A second run from the same landing changes nothing but the versions.

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from siftgraph.operators import clustering, neighbours, semantic, spanning, vectors
+from siftgraph.operators import clustering, lloyd, neighbours, semantic, spanning, vectors
 from siftgraph.operators.clustering import ward_tree
 from siftgraph.operators.spanning import dense_tree
 
@@ -180,6 +180,35 @@ def test_kmeans_and_ward_find_blobs(spark):
         assert same_partition(labels, truth)
 
 
+def test_lloyd_moves_all_runs_as_alone(spark):
+    x = blobs(4)
+    rows = frame(spark, x).repartition(3)
+    starts = [x[:3].copy(), x[5:9].copy(), np.vstack([x[:2], [[50.0] * x.shape[1]]])]
+
+    def alone(c, passes=100):
+        for _ in range(passes):
+            near = ((x[:, None] - c[None]) ** 2).sum(-1).argmin(1)
+            moved = np.array([x[near == i].mean(0) if (near == i).any() else c[i] for i in range(len(c))])
+            cost, still = ((x - c[near]) ** 2).sum(), ((moved - c) ** 2).sum(1).max() > 1e-8
+            c = moved
+            if not still:
+                break
+        return cost, c
+
+    for (cost, c), start in zip(lloyd.lloyd(rows, starts), starts, strict=True):
+        want = alone(start)
+        assert np.allclose(c, want[1]) and np.isclose(cost, want[0])
+
+
+def test_kmeans_of_few_and_equal_rows(spark):
+    same = frame(spark, [[1.0, 0.0]] * 6)
+    assert {r["kmeans_cluster"] for r in clustering.kmeans(same, 3, n_init=2).collect()} == {0}
+    two = clustering.kmeans(frame(spark, [[1.0, 0.0], [0.0, 1.0]]), 2, n_init=3).collect()
+    assert len({r["kmeans_cluster"] for r in two}) == 2
+    with pytest.raises(ValueError):
+        clustering.kmeans_centers(same.limit(0))
+
+
 def test_kmeans_labels_are_nearest_centres(spark):
     x = unit(sample(50))
     centers = clustering.kmeans_centers(frame(spark, x), 4, n_init=2)
