@@ -106,17 +106,30 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _kept() -> dict:
+    return vars(sys.modules.setdefault("_siftgraph_kept", types.ModuleType("_siftgraph_kept")))
+
+
+def forget() -> None:
+    """Let go of what earlier operators keep in this Python worker, which outlives their tasks."""
+    names = [n for n in _kept() if not n.startswith("__")]
+    for name in names:
+        del _kept()[name]
+    if names:
+        give_back()
+
+
 def per_worker(key: tuple, make):
     """What ``make`` returns, made once in a Python worker and kept for its later tasks.
 
     Functions travel with each job, and so do the globals that they see; a module entry of the
-    process outlives the task.
+    process outlives the task. One thing is kept at a time.
     """
-    kept = sys.modules.setdefault("_siftgraph_kept", types.ModuleType("_siftgraph_kept"))
     name = repr(key)
-    if not hasattr(kept, name):
-        setattr(kept, name, make())
-    return getattr(kept, name)
+    if name not in _kept():
+        forget()
+        _kept()[name] = make()
+    return _kept()[name]
 
 
 def plain_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
