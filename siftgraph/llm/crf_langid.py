@@ -11,10 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .common import gram_buckets, plain_words, ranges, slices, spread
 
 BUCKETS = 1 << 16
 SEGMENT = 32
+# A language's texts are ranked in so many parts first.
+PARTS = 64
 
 
 def features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -153,17 +156,23 @@ def label_words(model: Crf, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.n
 
 
 def fit(docs: DataFrame, labelled: Column, per_label: int = 400) -> Crf:
-    """A model from at most ``per_label`` labelled texts of each language, drawn by hash of the id."""
-    ok = docs.where(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    drawn = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id"), F.lit(9)), "doc_id")
-    rows = (
-        ok.select("doc_id", "lang", "text")
-        .withColumn("n", F.row_number().over(drawn))
-        .where(F.col("n") <= per_label)
-        .select("lang", "text")
-        .orderBy("lang", "doc_id")
-        .collect()
+    """A model from at most ``per_label`` labelled texts of each language, drawn by hash of the id.
+
+    Ids are ranked, not texts; a repeated id brings one of its texts in each language. Rows without
+    an id, a language or a text teach nothing.
+    """
+    ok = docs.where(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    ids = ok.groupBy(F.col("doc_id").cast("long").alias("_id"), F.col("lang").cast("string").alias("_lang")).agg(F.min(F.xxhash64(F.col("doc_id"), F.lit(9))).alias("_hash"))
+    order = [F.col("_hash"), F.col("_id")]
+    # First in each of a few parts of a language, so that no task ranks a whole one.
+    part = F.pmod(F.shiftright("_hash", 7), F.lit(PARTS))
+    some = ids.withColumn("_n", F.row_number().over(Window.partitionBy("_lang", part).orderBy(*order))).where(F.col("_n") <= per_label)
+    some = some.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy(*order))).where(F.col("_n") <= per_label)
+    some = cut(some.select("_id", "_lang"), "language-ids")
+    met = ok.select(F.col("doc_id").cast("long").alias("_own"), F.col("lang").cast("string").alias("lang"), "text").join(
+        some, (F.col("_own") == F.col("_id")) & (F.col("lang") == F.col("_lang"))
     )
+    rows = met.groupBy("_id", "lang").agg(F.min("text").alias("text")).orderBy("lang", "_id").collect()
     if not rows:
         return Crf(["und"], np.zeros((BUCKETS, 1), np.float32), np.zeros((1, 1), np.float32))
     return train([r.text for r in rows], [r.lang for r in rows])

@@ -7,16 +7,18 @@ n-grams, so that a spelling never seen still has a meaning.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_buckets, plain_words, ranges, slices, spread
+from ..session import cut
+from .common import forget, give_back, gram_buckets, plain_words, ranges, slices, spread
 
 GRAMS = 1 << 15
 WINDOW, STRIDE = 32, 16
@@ -58,6 +60,11 @@ class Network:
         sums = np.add.reduceat(self.p["gram"][index], np.cumsum(n) - n, axis=0)
         return self.p["word"][number] + sums / n[:, None].astype(np.float32)
 
+    def known(self, words: pa.Array, step: int = 1 << 13) -> np.ndarray:
+        """Vectors of distinct words; their n-grams are looked up some words at a time."""
+        parts = [self.vectors(*self.inputs(words.slice(i, step))) for i in range(0, len(words), step)]
+        return np.concatenate([np.zeros((0, WIDTH), np.float32), *parts])
+
     def gates(self, x: np.ndarray, way: str) -> np.ndarray:
         """Input part of the three gates of each word, and last a row of zeros for the filling,
         under which a state of zeros stays zero."""
@@ -173,7 +180,7 @@ def score_texts(net: Network, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     words, at = plain_words(texts)
     d = pc.dictionary_encode(words)
     word, text = windows(at, d.indices.to_numpy(zero_copy_only=False).astype(np.int64))
-    got = net.score(net.vectors(*net.inputs(d.dictionary)), word)
+    got = net.score(net.known(d.dictionary), word)
     best = np.zeros(len(texts), np.float32)
     np.maximum.at(best, text, got)
     return best, got, text
@@ -203,6 +210,8 @@ def train(texts: list[str], labels: list[int], rounds: int = 3, epochs: int = 3,
     word, text = windows(at, which)
     if not word.shape[1]:
         return net
+    word = word.astype(np.int32)
+    give_back()
     strength = np.where(all_ >= 5, np.clip(odds, 0, 4), 0)
     look = np.where(word >= 0, strength[word], 0).max(0)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -227,24 +236,38 @@ def train(texts: list[str], labels: list[int], rounds: int = 3, epochs: int = 3,
                     v[k] += 0.01 * (g[k] * g[k] - v[k])
                     up = (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
                     net.p[k] = (net.p[k] - rate * up).astype(np.float32)
-        look = net.score(net.vectors(*net.inputs(d.dictionary)), word)
+        look = net.score(net.known(d.dictionary), word)
     return net
 
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, per_label: int = 1200) -> Network:
-    """A network from at most ``per_label`` texts of either label, drawn by hash of the id."""
+    """A network from at most ``per_label`` texts of either label, drawn by hash of the id.
+
+    Only ids are ranked, a few from each partition, and a repeated id brings one of its texts. The
+    drawn texts, which do not grow with the table, meet in one task, which trains; the driver gets
+    the weights. Without a labelled text the network is untrained and knows no word.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = known.select(F.col("doc_id").cast("long").alias("_id"), (F.col("toxic") > 0).cast("int").alias("_toxic"))
-    drawn = Window.partitionBy("_toxic").orderBy(F.xxhash64(F.col("_id"), F.lit(10)), "_id")
     ids = docs.where(may_learn).select(F.col("doc_id").cast("long").alias("_own"))
-    some = known.join(ids, F.col("_id") == F.col("_own"), "left_semi").withColumn("n", F.row_number().over(drawn))
-    some = some.where(F.col("n") <= per_label).select("_id", "_toxic")
-    chosen = {r[0]: r[1] for r in some.collect()}
-    if not chosen:
-        return train([], [])
-    # The list has at most 2 * per_label ids, so it can stand in the scan's filter.
-    rows = docs.where(F.col("doc_id").isin(sorted(chosen))).select("doc_id", "text").orderBy("doc_id").collect()
-    return train([r.text or "" for r in rows], [chosen[r.doc_id] for r in rows])
+    some = known.join(ids, F.col("_id") == F.col("_own"), "left_semi").groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
+    some = cut(some, "toxic-ids")
+    order = [F.xxhash64(F.col("_id"), F.lit(10)), F.col("_id")]
+    drawn = [some.where(F.col("_toxic") == t).orderBy(*order).limit(per_label) for t in (0, 1)]
+    drawn = cut(drawn[0].unionByName(drawn[1]), "toxic-drawn")
+    own = docs.select(F.col("doc_id").cast("long").alias("_own"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = own.join(drawn, F.col("_own") == F.col("_id")).groupBy("_id", "_toxic").agg(F.min("text").alias("text"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("_id", "_toxic", "text")), strict=True))
+        if rows:
+            net = train([r[2] for r in rows], [r[1] for r in rows])
+            give_back()
+            yield pa.RecordBatch.from_pydict({"net": pa.array([pickle.dumps((net.words, net.p))], pa.binary())})
+
+    made = texts.coalesce(1).mapInArrow(learn, "net binary").collect()
+    return Network(*pickle.loads(made[0].net)) if made else train([], [])
 
 
 def toxicity(docs: DataFrame, net: Network, least: float = 0.7) -> DataFrame:
@@ -254,7 +277,8 @@ def toxicity(docs: DataFrame, net: Network, least: float = 0.7) -> DataFrame:
     other columns are not looked at. Returns doc_id, score, predicted (1 from ``least`` on).
     """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=4 << 20):
+        forget()
+        for batch in slices(batches, most=2 << 20):
             best = np.clip(score_texts(net, batch.column("text"))[0].astype(np.float64), 0, 1)
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": batch.column("doc_id"), "score": best, "predicted": (best >= least).astype(np.int32)}
@@ -269,7 +293,8 @@ def drop_toxic(docs: DataFrame, net: Network, least: float = 0.7) -> DataFrame:
     names, schema = docs.columns, docs.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=4 << 20):
+        forget()
+        for batch in slices(batches, most=2 << 20):
             fine = score_texts(net, batch.column("text"))[0] < least
             yield batch.filter(pa.array(fine))
 
