@@ -128,14 +128,24 @@ def exact_groups(docs: DataFrame, bytes_per_batch: str | None = None) -> DataFra
 
 
 def drop_exact(docs: DataFrame, bytes_per_batch: str | None = None) -> DataFrame:
-    """``docs`` without the rows whose text another row keeps; columns as they came."""
-    kept = exact_groups(docs, bytes_per_batch).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")
+    """``docs`` without the rows whose text another row keeps; columns as they came, by any names.
+
+    A source row travels as one struct. Only rows that share both id and text with another are
+    shuffled once more, as one of them has to be picked.
+    """
+    found = exact_groups(docs, bytes_per_batch)
+    kept = found.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    twice = found.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = cut(twice.select(F.col("doc_id").alias("twice_id"), F.col("text_sha256").alias("twice_sha")), "dedup-twice")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"),
+        F.col("doc_id").cast("long").alias("id"),
+        F.sha2(normalised(), 256).alias("sha"),
     )
-    own = docs.withColumns({"_own": F.col("doc_id").cast("long"), "_digest": F.sha2(normalised(), 256)})
-    met = own.join(kept, (F.col("_own").eqNullSafe(F.col("_id"))) & (F.col("_digest") == F.col("_sha")), "left_semi")
-    one = F.row_number().over(Window.partitionBy("_own", "_digest").orderBy("_digest"))
-    return met.withColumn("_n", one).where("_n = 1").select(*docs.columns)
+    met = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
+    same = F.col("id").eqNullSafe(F.col("twice_id")) & (F.col("sha") == F.col("twice_sha"))
+    one = met.join(twice, same, "left_semi").dropDuplicates(["id", "sha"])
+    return met.join(twice, same, "left_anti").unionByName(one).select("record.*")
 
 
 SQL = """WITH t AS (

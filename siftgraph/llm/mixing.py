@@ -55,12 +55,13 @@ def shard_quotas(goals: DataFrame, block: int, per_shard: int, most: int = 2) ->
     """Blocks of each source in each shard: shard, rank, quota.
 
     All quotients target / (2k - 1) are ranked once, the highest first, ties to the lower source;
-    shard s takes the places from s * ``per_shard`` on. As more seats never take a seat away from
+    shard s takes the places from s * ``per_shard`` on. The last of all seats may be for less than
+    a block, so that a table of few words is mixed too. As more seats never take a seat away from
     a source, any run of shards has the mix that apportioning its seats at once would give. No
     source gets more blocks than ``most`` times its size holds. A source's seats differ from its
     rounded share by half the number of sources at most, so quotients beyond that aren't made.
     """
-    seats = F.floor(_sum(goals, "target") / block)
+    seats = F.ceil(_sum(goals, "target") / block)
     n = goals.agg(F.count(F.lit(1))).scalar()
     far = F.ceil(F.col("target") / block + n / 2 + 1)
     most_k = F.least(far, F.ceil(F.col("source_size") * most / block)).cast("long")
@@ -143,25 +144,28 @@ def mixed(docs: DataFrame, block: int = 64, **how) -> DataFrame:
     rest falls on, with the white space behind each; a line feed is between two of these. So the
     words of a source are as many as ``taken`` says. Other columns are as they came.
     """
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    placed, taken = _placed(rows.select("doc_id", "source", "text", F.col("_row").alias("row")), block, **how)
+    record = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record")
+    rows = cut(docs.select(record, F.monotonically_increasing_id().alias("row")), "mix-rows")
+    placed, taken = _placed(rows.select("record.doc_id", "record.source", "record.text", "row"), block, **how)
     part = taken - F.col("size") * F.col("turns")
     chosen = placed.select(
         F.col("row").alias("_row"),
         F.struct("start", "size", "rank", "blocks", "turns", "rest", "step", part.alias("part")).alias("_mix"),
     )
     chosen = cut(chosen.where((F.col("_mix.size") > 0) & (F.col("_mix.turns") + F.col("_mix.part") > 0)), "mix-chosen")
-    return rows.join(chosen, "_row").select(*[_taken_text(block).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    met = rows.join(chosen, F.col("row") == F.col("_row"))
+    return met.select(*[_taken_text(block).alias("text") if c == "text" else F.col(f"record.`{c}`") for c in docs.columns])
 
 
 def _taken_text(block: int) -> Column:
     """The text by full turns and chosen blocks; ``_mix`` says which."""
+    text = F.col("record.text")
     start, size, turns, part = (F.col(f"_mix.{c}") for c in ("start", "size", "turns", "part"))
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    pieces = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     inside = F.filter(pieces, lambda _, i: _first(F.floor((start + i) / block), "_mix."))
-    rest = F.when(part == 0, F.array().cast("array<string>")).when(part == size, F.array("text"))
+    rest = F.when(part == 0, F.array().cast("array<string>")).when(part == size, F.array(text))
     rest = rest.otherwise(F.array(F.array_join(inside, "")))
-    return F.array_join(F.concat(F.array_repeat("text", turns.cast("int")), rest), "\n")
+    return F.array_join(F.concat(F.array_repeat(text, turns.cast("int")), rest), "\n")
 
 
 # The same in DuckDB's SQL.
@@ -192,7 +196,7 @@ quotients AS (
 quotas AS (
   SELECT rank, count(*) AS quota FROM (
     SELECT rank, row_number() OVER (ORDER BY quotient DESC, rank) - 1 AS seat FROM quotients)
-  WHERE seat < (SELECT floor(sum(target) / 64) FROM goals) GROUP BY rank),
+  WHERE seat < (SELECT ceil(sum(target) / 64) FROM goals) GROUP BY rank),
 placed AS (
   SELECT s.doc_id, s.size, g.source_size, g.target, g.rank, coalesce(q.quota, 0) AS quota,
     CAST(ceil(g.source_size / 64.0) AS BIGINT) AS blocks,

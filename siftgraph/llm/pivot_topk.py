@@ -12,10 +12,16 @@ from ..session import cut
 
 def scaled(vector: str, scale: int) -> Column:
     """Each component as floor(scale * x), or null for a vector that is null or has a component
-    that is null or not finite. Products must fit a long, so components stay below 2^28."""
+    that is null or not finite. Products must fit a long: a component of 2^28 or more, once scaled,
+    is an error."""
     big = F.lit(float(1 << 28))
-    ok = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) * scale < big))
-    return F.when(ok, F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))))
+    ok = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+    def whole(x: Column) -> Column:
+        wide = F.lit(float(scale)) * x.cast("double")
+        return F.when(F.abs(wide) < big, F.floor(wide)).otherwise(F.raise_error(F.lit("a component is too large to score exactly")).cast("long"))
+
+    return F.when(ok, F.transform(vector, whole))
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -87,7 +93,8 @@ def pivot_top_k(
     Queries meet all rows in blocks: a task has one block of either, its size does not grow with
     the table, and it returns k rows a query. ``n_pivots`` rows, those of smallest hash of the
     id, serve as pivots; they steer the work and never the result. Vectors that are null or hold
-    null or non-finite components take no part, nor rows with a null id; an id that comes twice
+    null or non-finite components, or none at all, take no part, nor rows with a null id; components
+    too large to score exactly are an error; an id that comes twice
     is two rows, neither its own candidate. All vectors must have the same width. A table without
     usable rows gives no rows; other columns are not looked at.
 
