@@ -5,6 +5,9 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
+
 
 def words(text):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
@@ -56,3 +59,30 @@ def tokens(tokenizer, rows, end=2):
         out.append((i, start, len(ids), zlib.crc32(raw)))
         start += len(ids)
     return out
+
+
+def gru_score(net, text, window=32, stride=16):
+    """A text's score, one word and one unit after the other; 0 without words."""
+    words = [w.encode() for w in re.findall(r"[A-Za-z\x80-\U0010ffff]+", text.lower())]
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    best = 0.0
+    starts = [0] if words else []
+    while starts and starts[-1] + window < len(words):
+        starts.append(starts[-1] + stride)
+    for s in starts:
+        xs = [net.known(pa.array([w], pa.large_binary()))[0].astype(float) for w in words[s : s + window]]
+        states = {}
+        for way, order in (("f", range(len(xs))), ("b", range(len(xs) - 1, -1, -1))):
+            w, u, c = (net.p[k + way].astype(float) for k in "WUc")
+            n = u.shape[0]
+            h = np.zeros(n)
+            for t in order:
+                g, a = xs[t] @ w + c, h @ u
+                z, r = sig(g[:n] + a[:n]), sig(g[n : 2 * n] + a[n : 2 * n])
+                h = z * h + (1 - z) * np.tanh(g[2 * n :] + r * a[2 * n :])
+                states[way, t] = h
+        both = [np.concatenate([states["f", t], states["b", t]]) for t in range(len(xs))]
+        e = np.array([np.exp(np.tanh(h @ net.p["A"]) @ net.p["a"]) for h in both])
+        pooled = sum(share * h for share, h in zip(e / e.sum(), both, strict=True))
+        best = max(best, float(sig(pooled @ net.p["w"] + net.p["o"][0])))
+    return best
