@@ -224,7 +224,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 3, epochs: int = 3,
         drawn = rng.choice(clean, min(len(clean), int(n)), replace=False) if len(clean) else clean
         used = np.concatenate([worst, drawn])
         # Few windows are gone through more often, so that the network gets enough steps.
-        for _ in range(max(epochs, -(-least_steps * batch // (rounds * len(used))))):
+        for _ in range(max(epochs, -(-least_steps * batch // (rounds * max(len(used), batch))))):
             for part in np.array_split(rng.permutation(used), max(1, len(used) // batch)):
                 mine, local = np.unique(word[:, part], return_inverse=True)
                 local = local.reshape(WINDOW, -1) - (mine[0] == -1)
