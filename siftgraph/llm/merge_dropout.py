@@ -352,10 +352,10 @@ class Encoder:
     """Ids of whole columns, each occurrence of a unit cut under a key of its own; with ``variants``
     under one of so many keys."""
 
-    def __init__(self, model: MergeModel, rate: float, seed: int, variants: int | None = None):
+    def __init__(self, model: MergeModel, rate: float, seed: int, variants: int | None = None, most: int = 800_000):
         self.variants = variants
         self.seed = mix64(np.array([seed], np.int64).view(np.uint64))[0]
-        self.model, self.paths = model, Paths(model, rate)
+        self.model, self.paths = model, Paths(model, rate, most)
 
     def __call__(self, names: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and at which id each begins; ``names`` are their doc_ids."""
@@ -397,10 +397,12 @@ def encode_dropout(
     ids if ``arrays``.
     """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = ("merges", model_file, rate, seed)
-        encoder = per_worker(key, lambda: Encoder(MergeModel(model_file), rate, seed))
+        # Arrays of ids need room themselves, so fewer paths are kept beside them.
+        most = 250_000 if arrays else 800_000
+        key = ("merges", model_file, rate, seed, most)
+        encoder = per_worker(key, lambda: Encoder(MergeModel(model_file), rate, seed, most=most))
         model = encoder.model
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches, most=(1 if arrays else 4) << 20):
             names, texts = batch.column("doc_id"), batch.column("text")
             ids, at = encoder(names.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), texts)
             small = ids.astype("<u4")
