@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# One document is one row; this is the most rows that may be folded into it.
-MAX_DOCUMENT_ROWS = 200_000
+from ..operators.ordering import number_rows
 
 
 def _options(gzip: bool) -> dict[str, str]:
@@ -25,57 +26,71 @@ def export_graph(
     """Write the graph as JSON and return the path.
 
     By default each part is a folder of JSON lines, written by all tasks. ``document`` writes
-    the single document a browser reads, allowed only for graphs of a checked size.
+    the single document a browser reads as ordered text parts: joined in the order of their names
+    (``cat part-*``, also when gzipped) they are the document, one line for each node or link.
+    All tasks write, and nothing is gathered. Without a row in ``meta`` the document's is null.
     """
-    options = _options(gzip)
     if not document:
         parts = {"nodes": nodes, "links": links, "clusters": clusters, "meta": meta}
         for name, df in parts.items():
-            df.write.mode("overwrite").options(**options).json(f"{path}/{name}")
+            df.write.mode("overwrite").options(**_options(gzip)).json(f"{path}/{name}")
         return path
-    for df in (nodes, links, clusters):
-        _check_size(df)
+    head = F.coalesce(F.first(_json(meta.columns)), F.lit("null"))
     order = [c for c in ("s", "t", "source", "target") if c in links.columns]
-    row = (
-        meta.select(F.struct(*meta.columns).alias("meta"))
-        .withColumn("clusters", _map(clusters, "cid", ["label", "size"]).scalar())
-        .withColumn("nodes", _list(nodes, ["id"]).scalar())
-        .withColumn("links", _list(links, order).scalar())
-    )
-    _write_document(row, path, options)
-    return path
+    pieces = [
+        '{"meta":',
+        meta.limit(1).agg(head.alias("line")).select("line", F.lit(0).cast("long").alias("n")),
+        ',"clusters":{',
+        _items(clusters, ["cid"], _entry("cid", ["label", "size"])),
+        '},"nodes":[',
+        _items(nodes, ["id"], _json(nodes.columns)),
+        '],"links":[',
+        _items(links, order, _json(links.columns)),
+        "]}",
+    ]
+    return _write_document(pieces, path, gzip)
 
 
 def export_summaries(
     summaries: DataFrame, path: str, gzip: bool = False, document: bool = False
 ) -> str:
-    """Write the summaries as JSON lines, or as one document: url to fields."""
-    options = _options(gzip)
+    """Write the summaries as JSON lines, or as one document (url to fields) in ordered parts.
+
+    A url must not repeat in a document, as it is a key there.
+    """
     if not document:
-        summaries.write.mode("overwrite").options(**options).json(path)
+        summaries.write.mode("overwrite").options(**_options(gzip)).json(path)
         return path
-    _check_size(summaries)
     fields = [c for c in summaries.columns if c != "url"]
-    _write_document(_map(summaries, "url", fields).toDF("summaries"), path, options)
-    return path
+    pieces = ['{"summaries":{', _items(summaries, ["url"], _entry("url", fields)), "}}"]
+    return _write_document(pieces, path, gzip)
 
 
-def _check_size(df: DataFrame) -> None:
-    if df.limit(MAX_DOCUMENT_ROWS + 1).count() > MAX_DOCUMENT_ROWS:
-        raise ValueError("too many rows for one document; write the parts instead")
+def _json(columns: Sequence[str]) -> Column:
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "true"})
 
 
-def _list(df: DataFrame, order: list[str]) -> DataFrame:
-    sort = F.struct(*[F.col(c) for c in order])
-    rows = F.sort_array(F.collect_list(F.struct(sort.alias("o"), F.struct(*df.columns).alias("r"))))
-    return df.agg(F.transform(rows, lambda e: e["r"]))
+def _entry(key: str, fields: Sequence[str]) -> Column:
+    """``"key":{...}``: an object of one entry without its braces."""
+    one = F.to_json(F.create_map(F.col(key).cast("string"), F.struct(*fields)), {"ignoreNullFields": "true"})
+    return F.substring(one, F.lit(2), F.length(one) - 2)
 
 
-def _map(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    entry = F.struct(F.col(key).cast("string"), F.struct(*fields))
-    return df.agg(F.map_from_entries(F.sort_array(F.collect_list(entry))))
+def _items(df: DataFrame, order: Sequence[str], line: Column) -> DataFrame:
+    """line, n: the rows' JSON in order, each but the first behind a comma."""
+    keys = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
+    rows = df.select(*keys, line.alias("line"))
+    placed = number_rows(rows, [F.col(c) for c in rows.columns], "n")
+    return placed.select(F.concat(F.when(F.col("n") > 0, ",").otherwise(""), "line").alias("line"), "n")
 
 
-def _write_document(row: DataFrame, path: str, options: dict[str, str]) -> None:
-    text = row.select(F.to_json(F.struct(*row.columns), {"ignoreNullFields": "true"}))
-    text.coalesce(1).write.mode("overwrite").options(**options).text(path)
+def _write_document(pieces: Sequence[str | DataFrame], path: str, gzip: bool) -> str:
+    spark = next(p for p in pieces if isinstance(p, DataFrame)).sparkSession
+    fixed = [(i, 0, p) for i, p in enumerate(pieces) if isinstance(p, str)]
+    text = spark.createDataFrame(fixed, "piece int, n long, line string")
+    for i, p in enumerate(pieces):
+        if isinstance(p, DataFrame):
+            text = text.unionByName(p.withColumn("piece", F.lit(i)))
+    lines = text.orderBy("piece", "n").select("line")
+    lines.write.mode("overwrite").options(**_options(gzip)).text(path)
+    return path

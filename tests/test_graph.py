@@ -159,6 +159,11 @@ def test_summary_scope(spark):
     assert rows(export.summary_scope(df, only_clustered=True), "id") == [("a",)]
 
 
+def joined(folder, zipped=False):
+    parts = sorted(folder.glob("part-*"))
+    return "".join(gzip.open(p, "rt").read() if zipped else p.read_text() for p in parts)
+
+
 @pytest.mark.parametrize("zipped", [False, True])
 def test_export_documents(spark, tmp_path, zipped):
     n = export.graph_nodes(papers(spark))
@@ -167,9 +172,7 @@ def test_export_documents(spark, tmp_path, zipped):
     meta = spark.range(1).select(F.lit("m").alias("model"))
     edges = links(spark, [(0, 1, 0.5)])
     path = sinks.export_graph(n, edges, legend, meta, str(tmp_path / "g"), zipped, document=True)
-    [part] = list((tmp_path / "g").glob("part-*"))
-    raw = gzip.open(part, "rt").read() if zipped else part.read_text()
-    doc = json.loads(raw)
+    doc = json.loads(joined(tmp_path / "g", zipped))
     assert path and doc["links"] == [{"s": 0, "t": 1, "w": 0.5}] and doc["meta"] == {"model": "m"}
     assert [x["id"] for x in doc["nodes"]] == [0, 1] and doc["clusters"]["1"]["size"] == 1
     sinks.export_graph(n, edges, legend, meta, str(tmp_path / "parts"), zipped)
@@ -177,12 +180,26 @@ def test_export_documents(spark, tmp_path, zipped):
     assert rows(back) == rows(n)
     summaries = spark.createDataFrame([("u", "s", 1)], "url string, sm string, cid int")
     sinks.export_summaries(summaries, str(tmp_path / "s"), document=True)
-    [part] = list((tmp_path / "s").glob("part-*"))
-    assert json.loads(part.read_text()) == {"summaries": {"u": {"sm": "s", "cid": 1}}}
+    assert json.loads(joined(tmp_path / "s")) == {"summaries": {"u": {"sm": "s", "cid": 1}}}
 
 
-def test_document_refuses_large_graphs(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(sinks, "MAX_DOCUMENT_ROWS", 1)
-    df = spark.createDataFrame([("u", "s"), ("v", "s")], "url string, sm string")
-    with pytest.raises(ValueError):
-        sinks.export_summaries(df, str(tmp_path / "s"), document=True)
+def test_documents_in_many_parts(spark, tmp_path):
+    """Any number of rows: parts of all tasks that join to one document, quotes and ties included."""
+    data = [(i, None if i % 7 == 0 else f'a "{i}"\n') for i in range(5000)]
+    n = spark.createDataFrame(data, "id long, t string").repartition(9)
+    edges = spark.range(7000).selectExpr("id div 3 as source", "id % 2 as target", "0.5D as w")
+    legend = spark.createDataFrame([(2, 'x"', 1), (10, None, 4)], "cid int, label string, size int")
+    meta = spark.range(1).select(F.lit("m").alias("model"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.export_graph(n, edges, legend, meta, str(tmp_path / "g"), document=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "g").glob("part-*"))) > 1
+    doc = json.loads(joined(tmp_path / "g"))
+    assert doc["nodes"] == [{"id": i, "t": t} if t else {"id": i} for i, t in data]
+    ends = [(x["source"], x["target"]) for x in doc["links"]]
+    assert ends == sorted((i // 3, i % 2) for i in range(7000))
+    assert doc["clusters"] == {"2": {"label": 'x"', "size": 1}, "10": {"size": 4}}
+    sinks.export_graph(n.limit(0), edges.limit(0), legend.limit(0), meta.limit(0), str(tmp_path / "e"), document=True)
+    assert json.loads(joined(tmp_path / "e")) == {"meta": None, "clusters": {}, "nodes": [], "links": []}
