@@ -12,7 +12,7 @@ from ..functions.text import is_generic_phrase, strip_subtitle
 from ..functions.vectors import dot, l2_normalize
 from ..session import cut
 from .neighbours import TIE_PLACES, top_matches
-from .vectors import Encoder
+from .vectors import Encoder, encode_rows
 
 
 def candidate_phrases(terms: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
@@ -29,8 +29,7 @@ def candidate_phrases(terms: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
 def encode_phrases(phrases: DataFrame, encoder: Encoder, sep: str = "[SEP]") -> DataFrame:
     """phrase, vector through the same encoder as the papers, with an empty summary."""
     rows = phrases.select(F.col("phrase").alias("id"), F.concat("phrase", F.lit(sep)).alias("text"))
-    coded = rows.mapInPandas(encoder, schema="id string, vector array<float>")
-    return coded.select(F.col("id").alias("phrase"), "vector")
+    return encode_rows(rows, encoder).select(F.col("id").alias("phrase"), "vector")
 
 
 def rank_against_centroids(

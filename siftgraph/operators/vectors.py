@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -80,7 +81,28 @@ def centroid(vectors: DataFrame, by: Sequence[str] = (), vector: str = "vector")
     return sums.select(*by, l2_normalize(mean).alias("centroid"))
 
 
-Encoder = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+# Maps batches with the columns id and text to batches with id and vector.
+BatchEncoder = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+
+
+@dataclass(frozen=True)
+class FrameEncoder:
+    """An encoder that is itself a DataFrame operation: rows of id and text to id and vector.
+
+    Ids do not repeat.
+    """
+
+    rows: Callable[[DataFrame], DataFrame]
+
+
+Encoder = BatchEncoder | FrameEncoder
+
+
+def encode_rows(rows: DataFrame, encoder: Encoder) -> DataFrame:
+    """id, vector of rows with id and text."""
+    if isinstance(encoder, FrameEncoder):
+        return encoder.rows(rows)
+    return rows.mapInPandas(encoder, schema=f"{_id_field(rows)}, vector array<float>")
 
 
 def embed_missing(
@@ -93,17 +115,16 @@ def embed_missing(
 ) -> DataFrame:
     """Unit vectors for the papers that lack one, ready for ``upsert`` into the table.
 
-    ``encoder`` maps batches with the columns id and text to batches with id and vector; it runs
-    once per task, so a model is loaded once per task. Id and text travel in one row. Encoding
-    costs far more than moving the text, so the rows left to do are spread evenly first, over
-    ``partitions`` or the session's shuffle partitions.
+    A batch encoder runs once per task, so a model is loaded once per task. Id and text travel in
+    one row. Encoding costs far more than moving the text, so the rows left to do are spread evenly
+    first, over ``partitions`` or the session's shuffle partitions; a frame encoder that groups by
+    id needs no other shuffle.
     """
     todo = missing_embeddings(papers, emb, model).select(
         "id", assemble_text(F.col("title"), F.col("summary"), sep).alias("text")
     )
     n = partitions or int(papers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    encoded = todo.repartition(n, "id").mapInPandas(encoder, schema=f"{_id_field(papers)}, vector array<float>")
-    return as_embeddings(encoded, model)
+    return as_embeddings(encode_rows(todo.repartition(n, "id"), encoder), model)
 
 
 def as_embeddings(encoded: DataFrame, model: str = VECTOR_MODEL) -> DataFrame:
@@ -117,6 +138,8 @@ def as_embeddings(encoded: DataFrame, model: str = VECTOR_MODEL) -> DataFrame:
     )
 
 
+WORD = r"[\p{L}\p{N}_]{2,}"
+
 # What a new vector replaces; the time of the first insert stays.
 EMBEDDING_COLUMNS = ["model", "dim", "vector"]
 
@@ -125,23 +148,32 @@ def _id_field(df: DataFrame) -> str:
     return f"id {df.schema['id'].dataType.simpleString()}"
 
 
-def hashed_encoder(dim: int = 256) -> Encoder:
-    """Default encoder for offline use: hashed word counts, damped by log."""
+def hashed_encoder(dim: int = 256) -> FrameEncoder:
+    """Default encoder for offline use: hashed word counts, damped by log; all of it in the JVM."""
+    return FrameEncoder(lambda rows: hashed_vectors(rows, dim))
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-        import zlib
-        from collections import Counter
 
-        import numpy as np
+def hashed_vectors(rows: DataFrame, dim: int = 256) -> DataFrame:
+    """id, vector: each distinct word of two or more letters, digits or underscores, in lower case,
+    adds log(1 + count) to one of ``dim`` places, or takes it away; the first 32 bits of its MD5
+    say which. A null text or one without words has zeros.
 
-        word = re.compile(r"\w\w+")
-        for pdf in batches:
-            out = np.zeros((len(pdf), dim), dtype=np.float32)
-            for row, text in enumerate(pdf["text"]):
-                for token, n in Counter(word.findall(text.lower())).items():
-                    h = zlib.crc32(token.encode())
-                    out[row, h % dim] += (1.0 if h & 1 << 31 else -1.0) * np.log1p(n)
-            yield pd.DataFrame({"id": pdf["id"], "vector": list(out)})
-
-    return encode
+    Rows already hashed by id are not shuffled again: words, places and vectors group within it.
+    """
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    counts = rows.select("id", F.explode_outer(words).alias("w")).groupBy("id", "w").agg(
+        F.count("w").alias("n")
+    )
+    h = F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long")
+    sign = F.when(F.col("h") >= F.lit(1 << 31), 1.0).otherwise(-1.0)
+    # The one row of a text without words has no place and no weight.
+    cells = counts.withColumn("h", F.coalesce(h, F.lit(0))).select(
+        "id", (F.col("h") % dim).cast("int").alias("at"), (sign * F.log1p("n")).alias("x")
+    )
+    filled = cells.groupBy("id", "at").agg(F.sum("x").alias("x"))
+    held = filled.groupBy("id").agg(
+        F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("x")
+    )
+    every = F.sequence(F.lit(0), F.lit(dim - 1))
+    vector = F.transform(every, lambda i: F.coalesce(F.try_element_at("x", i), F.lit(0.0)))
+    return held.select("id", vector.cast("array<float>").alias("vector"))

@@ -360,11 +360,25 @@ def pca_coords(spark, sf):
     return rows.select("paper_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query(
-    "embed_missing",
-    """SELECT doc_id AS paper_id, 'specter2' AS model, 64 AS dim FROM documents
-    WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""",
-)
+# Sums are made unit vectors in double precision from single precision ones, as in the library.
+_HASHED = r""", words AS (
+  SELECT id, unnest(regexp_extract_all(lower(title || '[SEP]' || summary), '[\p{L}\p{N}_]{2,}')) AS w
+  FROM papers WHERE id NOT IN (SELECT vec_id FROM embeddings)),
+cells AS (
+  SELECT id, h % 64 AS pos, CAST(sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END * ln(1.0 + n)) AS FLOAT) AS x
+  FROM (SELECT id, count(*) AS n, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM words GROUP BY id, w)
+  GROUP BY id, h % 64),
+norms AS (SELECT id, sqrt(sum(CAST(x AS DOUBLE) * x)) AS norm FROM cells GROUP BY id)
+SELECT p.id AS paper_id, 'specter2' AS model, 64 AS dim, i.pos,
+  round(CAST(CAST(coalesce(x / (norm + 1e-12), 0.0) AS FLOAT) AS DOUBLE), 5) + 0.0 AS x
+FROM papers p, (SELECT unnest(range(64)) AS pos) i
+LEFT JOIN norms n ON n.id = p.id LEFT JOIN cells c ON c.id = p.id AND c.pos = i.pos
+WHERE p.id NOT IN (SELECT vec_id FROM embeddings)"""
+
+
+@query("embed_missing", _HASHED, "papers")
 def embed_missing(spark, sf):
     rows = vec.embed_missing(papers(spark, sf), embeddings(spark, sf), vec.hashed_encoder(64))
-    return rows.select("paper_id", "model", "dim")
+    cells = rows.select("paper_id", "model", "dim", F.posexplode("vector").alias("pos", "x"))
+    x = F.round(F.col("x").cast("double"), 5) + 0.0
+    return cells.withColumns({"pos": F.col("pos").cast("long"), "x": x})
