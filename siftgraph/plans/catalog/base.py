@@ -56,11 +56,13 @@ def embeddings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clustered(spark: SparkSession, sf: str) -> DataFrame:
-    """Papers that have a vector, with its label as their cluster."""
+    """All papers, with their vector's label as cluster; without a vector, the id's last digit."""
     near = embeddings(spark, sf).select(F.col("paper_id").alias("id"), "cid")
+    digit = F.pmod("id", F.lit(10)).cast(near.schema["cid"].dataType)
     return (
         papers(spark, sf)
-        .join(near, "id")
+        .join(near, "id", "left")
+        .withColumn("cid", F.coalesce("cid", digit))
         .withColumns(
             {
                 "kmeans_cluster": F.col("cid"),
@@ -97,8 +99,8 @@ _PARTS: dict[str, tuple[str, str]] = {
     "clustered": (
         "papers",
         """clustered AS (
-  SELECT p.*, e.label AS cid, 'lang.' || lang AS domain_tag
-  FROM papers p JOIN embeddings e ON e.vec_id = p.id)""",
+  SELECT p.*, coalesce(e.label, CAST((p.id % 10 + 10) % 10 AS INTEGER)) AS cid, 'lang.' || lang AS domain_tag
+  FROM papers p LEFT JOIN embeddings e ON e.vec_id = p.id)""",
     ),
     "seeds": ("", "seeds AS (SELECT doc_id AS id FROM labels WHERE toxic = 1)"),
     "center": (
@@ -154,6 +156,12 @@ centroids AS (
   SELECT row_number() OVER (ORDER BY cid, published DESC, id) - 1 AS node, * FROM clustered),
 nodes AS (
   SELECT id, title AS t, authors AS au, domain_tag AS dm, summary AS sm, cid FROM clustered)""",
+    ),
+    "vectored": (
+        "clustered",
+        """numbered AS (
+  SELECT row_number() OVER (ORDER BY cid, published DESC, id) - 1 AS node, * FROM clustered
+  WHERE id IN (SELECT vec_id FROM embeddings))""",
     ),
     "degrees": (
         "nodes both",

@@ -252,12 +252,11 @@ def _meta(spark, sf):
     )
 
 
-@query(
-    "cluster_legend",
-    """SELECT cid, s_name AS label, count(*) AS size FROM clustered
-    LEFT JOIN supplier ON s_suppkey = cid AND s_suppkey < 7 GROUP BY ALL""",
-    "clustered",
-)
+_LEGEND = """SELECT cid, s_name AS label, count(*) AS size FROM clustered
+    LEFT JOIN supplier ON s_suppkey = cid AND s_suppkey < 7 GROUP BY ALL"""
+
+
+@query("cluster_legend", _LEGEND, "clustered")
 def cluster_legend(spark, sf):
     return export.cluster_legend(graph.cluster_sizes(clustered(spark, sf)), _meta(spark, sf))
 
@@ -280,9 +279,11 @@ def attach_labels(spark, sf):
 
 
 def _graph(spark, sf, **options):
-    rows = clustered(spark, sf)
+    """A paper without a vector has no place in the graph: building one with it is an error."""
+    emb = embeddings(spark, sf)
+    rows = clustered(spark, sf).join(emb.select(F.col("paper_id").alias("id")), "id", "semi")
     return build_graph(
-        rows, embeddings(spark, sf), _meta(spark, sf), min_sim=0.30, model=None, **options
+        rows, emb, _meta(spark, sf), min_sim=0.30, model=None, **options
     )
 
 
@@ -290,13 +291,13 @@ def _graph(spark, sf, **options):
     "build_graph_links",
     """SELECT least(a.node, b.node) AS s, greatest(a.node, b.node) AS t, round(w, 6) AS w
     FROM links l JOIN numbered a ON a.id = l.s JOIN numbered b ON b.id = l.t""",
-    "nodes links",
+    "vectored links",
 )
 def build_graph_links(spark, sf):
     return _graph(spark, sf, mst=False, coords="none").links
 
 
-@query("build_graph_nodes", _NODE_ROWS, "nodes")
+@query("build_graph_nodes", _NODE_ROWS, "vectored")
 def build_graph_nodes(spark, sf):
     rows = _graph(spark, sf, include_summaries=True, coords="none").nodes
     return rows.withColumn("aid", F.col("aid").cast("string"))
@@ -315,7 +316,7 @@ SELECT least(a.node, b.node) AS s, greatest(a.node, b.node) AS t, round(w, 6) AS
 FROM named JOIN numbered a ON a.id = named.s JOIN numbered b ON b.id = named.t"""
 
 
-@query("build_graph_tree_links", ", " + MST + _TREE_LINKS, "nodes links")
+@query("build_graph_tree_links", ", " + MST + _TREE_LINKS, "vectored links")
 def build_graph_tree_links(spark, sf):
     return _graph(spark, sf, coords="none").links
 
@@ -332,6 +333,31 @@ def export_graph(spark, sf):
     return spark.read.schema(rows.schema).json(f"{path}/nodes")
 
 
+def _document_lines(spark, sf, name):
+    """One document written in ordered parts, read back line by line without the commas."""
+    sizes = graph.cluster_sizes(clustered(spark, sf))
+    legend = export.cluster_legend(sizes, _meta(spark, sf))
+    path = sinks.export_graph(
+        _nodes(spark, sf), _edges(spark, sf), legend, spark.range(1), scratch_path(spark, name), document=True
+    )
+    return spark.read.text(path).select(F.regexp_replace("value", "^,", "").alias("line"))
+
+
+@query("export_document_links", "SELECT s, t, round(w, 6) AS w FROM links", "links")
+def export_document_links(spark, sf):
+    lines = _document_lines(spark, sf, "document-links").where(F.col("line").startswith('{"s":'))
+    rows = lines.select(F.from_json("line", "s long, t long, w double").alias("r")).select("r.*")
+    return rows.withColumn("w", F.round("w", 6))
+
+
+@query("export_document_legend", _LEGEND, "clustered")
+def export_document_legend(spark, sf):
+    lines = _document_lines(spark, sf, "document-legend").where(F.col("line").rlike('^"-?[0-9]+":'))
+    entry = F.from_json(F.concat(F.lit("{"), "line", F.lit("}")), "map<string, struct<label string, size long>>")
+    rows = lines.select(F.explode(entry).alias("cid", "r"))
+    return rows.select(F.col("cid").cast("int").alias("cid"), "r.label", "r.size")
+
+
 _SUMMARY_ROWS = r"""SELECT 'https://docs.example.org/' || id AS url, CASE WHEN length(s) > 1000 THEN substr(s, 1, 1000) || '…' ELSE s END AS sm,
   title AS t, authors AS au, published AS pd, coalesce(link, 'https://docs.example.org/' || id) AS ln, domain_tag AS dm, cid
 FROM (SELECT *, regexp_replace(summary, '^\s+|\s+$', '', 'g') AS s FROM clustered)"""
