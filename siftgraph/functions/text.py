@@ -55,10 +55,15 @@ def assemble_text(title: Column, summary: Column, sep: str) -> Column:
     return F.concat(F.coalesce(title, F.lit("")), F.lit(sep), F.coalesce(summary, F.lit("")))
 
 
-def is_generic_phrase(phrase: Column, stoplist: Sequence[str] = GENERIC_WORDS) -> Column:
-    """True when the phrase has no word outside the stop list (or no word at all)."""
+def is_generic_phrase(
+    phrase: Column, stoplist: Sequence[str] = GENERIC_WORDS, token: str = "[A-Za-z0-9]+"
+) -> Column:
+    """True when the phrase has no word outside the stop list (or no word at all).
+
+    ``token`` says what a word is; by default other letters than a to z are none.
+    """
     tokens = F.regexp_extract_all(
-        F.lower(F.coalesce(phrase, F.lit(""))), F.lit("[A-Za-z0-9]+"), F.lit(0)
+        F.lower(F.coalesce(phrase, F.lit(""))), F.lit(token), F.lit(0)
     )
     known = F.array(*[F.lit(w) for w in stoplist])
 

@@ -15,15 +15,20 @@ from .neighbours import TIE_PLACES, top_matches
 from .vectors import Encoder, encode_rows
 
 
-def candidate_phrases(terms: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """Distinct phrases of all clusters and the extras, defaults if there are none; no generic."""
+def candidate_phrases(
+    terms: DataFrame, extra: Sequence[str] = (), token: str = "[A-Za-z0-9]+"
+) -> DataFrame:
+    """Distinct phrases of all clusters and the extras, defaults if there are none; no generic.
+
+    A phrase without any ``token`` is generic; pass the terms' own pattern to keep all scripts.
+    """
     spark = terms.sparkSession
     named = terms.select(F.col("term").alias("phrase"))
     if extra:
         named = named.union(spark.createDataFrame([(p,) for p in extra], "phrase string"))
     if named.isEmpty():
         named = spark.createDataFrame([(p,) for p in DEFAULT_PHRASES], "phrase string")
-    return named.distinct().where(~is_generic_phrase(F.col("phrase")))
+    return named.distinct().where(~is_generic_phrase(F.col("phrase"), token=token))
 
 
 def encode_phrases(phrases: DataFrame, encoder: Encoder, sep: str = "[SEP]") -> DataFrame:

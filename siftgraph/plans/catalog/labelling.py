@@ -84,7 +84,9 @@ def candidate_phrases(spark, sf):
     named = found.select(
         F.when(F.col("df") > 200, "language models").otherwise(F.col("term")).alias("term")
     )
-    return labels.candidate_phrases(named, ["AI models", "agents"]).where("phrase <> 'AI models'")
+    # Words are those of the terms, so that a term of other letters than a to z stays.
+    found = labels.candidate_phrases(named, ["AI models", "agents"], terms.TOKEN)
+    return found.where("phrase <> 'AI models'")
 
 
 def _ranked(spark, sf):

@@ -35,6 +35,13 @@ def test_tokens_fold_and_bridge_stop_words(spark):
     assert got[1]["ete"] == 1 and 2 not in got
 
 
+def test_candidate_phrases_of_other_letters(spark):
+    df = spark.createDataFrame([("ßß",), ("слово",), ("models",), ("__",)], "term string")
+    assert rows(labels.candidate_phrases(df, ["agents"], terms.TOKEN)) == [("__",), ("ßß",), ("слово",)]
+    # Without a pattern the words are of a to z, as before.
+    assert rows(labels.candidate_phrases(df)) == []
+
+
 def direct_tfidf(texts, min_df, max_df):
     counts = [Counter(t.split()) for t in texts]
     df = Counter(w for c in counts for w in c)
