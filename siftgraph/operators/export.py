@@ -126,22 +126,37 @@ def summary_rows(
     return filled.select(*columns)
 
 
+def _entry(summaries: DataFrame) -> Column:
+    """Names a summary: several may share a URL, and rows alike in all columns are one."""
+    return F.struct("url", "ln", F.sha2(F.to_json(F.struct(*summaries.columns)), 256).alias("digest"))
+
+
+def _entries(summaries: DataFrame, name: str) -> DataFrame:
+    """_of, and all columns as ``name``; once for rows alike in all columns."""
+    rows = summaries.select(_entry(summaries).alias("_of"), F.struct(*summaries.columns).alias(name))
+    return rows.dropDuplicates(["_of"])
+
+
 def _alias_keys(summaries: DataFrame, order: str) -> DataFrame:
-    """key, url: which summary each canonical key or link stands for; the later entry wins."""
-    rows = summaries.select("url", "ln", F.col(order).alias("_o"))
-    by_key = rows.select(canonical_url(F.col("url")).alias("key"), "url", "_o", F.lit(0).alias("_k"))
-    by_link = rows.where(F.col("ln") != "").select(
-        canonical_url(F.col("ln")).alias("key"), "url", "_o", F.lit(1).alias("_k")
+    """key, _of: which summary each canonical key or link stands for; the later entry wins.
+
+    Of summaries that share their place in ``order`` the one with the greater link does, then the
+    one with the greater digest, so each key has one.
+    """
+    rows = summaries.select(_entry(summaries).alias("_of"), F.col(order).alias("_o"))
+    by_key = rows.select(canonical_url(F.col("_of.url")).alias("key"), "_of", "_o", F.lit(0).alias("_k"))
+    by_link = rows.where(F.col("_of.ln") != "").select(
+        canonical_url(F.col("_of.ln")).alias("key"), "_of", "_o", F.lit(1).alias("_k")
     )
     both = by_key.unionByName(by_link)
-    return latest_per_key(both, ["key"], [F.col("_o"), F.col("_k")]).select("key", "url")
+    last = [F.col("_o"), F.col("_k"), F.col("_of")]
+    return latest_per_key(both, ["key"], last).select("key", "_of")
 
 
 def summary_aliases(summaries: DataFrame, order: str = "url") -> DataFrame:
     """key, summary: each summary under its canonical key and its canonical link."""
-    fields = F.struct(*summaries.columns).alias("summary")
     # Keys are settled without the texts, which move once.
-    return _alias_keys(summaries, order).join(summaries.select("url", fields), "url").drop("url")
+    return _alias_keys(summaries, order).join(_entries(summaries, "summary"), "_of").drop("_of")
 
 
 def lookup_summary(
@@ -155,10 +170,8 @@ def lookup_summary(
 
     With ``own``, column ``sm`` is the found text or else the row's own.
     """
-    known = _alias_keys(summaries, order).withColumnRenamed("url", "_of")
-    fields = F.struct(*summaries.columns).alias("found")
+    known = _alias_keys(summaries, order)
     keyed = urls.withColumn("_key", canonical_url(F.nullif(F.col(url), F.lit(""))))
     named = keyed.join(known.withColumnRenamed("key", "_key"), "_key", "left")
-    texts = summaries.select(F.col("url").alias("_of"), fields)
-    joined = named.join(texts, "_of", "left").drop("_of", "_key")
+    joined = named.join(_entries(summaries, "found"), "_of", "left").drop("_of", "_key")
     return joined if own is None else joined.withColumn("sm", F.coalesce("found.sm", own))

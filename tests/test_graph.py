@@ -149,6 +149,21 @@ def test_summaries(spark):
     assert [got[u] for u in asked] == ["two", "one", "three", "own", "own", "own"]
 
 
+def test_summaries_that_share_a_url(spark):
+    data = [
+        ("https://a.org/1", "https://b.org/1", "one"),
+        ("https://a.org/1", "https://b.org/2", "two"),
+        ("https://a.org/1", "https://b.org/2", "two"),
+    ]
+    summaries = spark.createDataFrame(data, "url string, ln string, sm string")
+    got = {(r["key"], r["summary"]["sm"]) for r in export.summary_aliases(summaries).collect()}
+    want = {("https://a.org/1", "two"), ("https://b.org/1", "one"), ("https://b.org/2", "two")}
+    assert export.summary_aliases(summaries).count() == 3 and got == want
+    urls = spark.createDataFrame([(k,) for k, _ in sorted(want)], "url string")
+    found = export.lookup_summary(urls, summaries).select("url", "found.sm").collect()
+    assert sorted(tuple(r) for r in found) == sorted(want)
+
+
 def test_summary_scope(spark):
     data = [("a", 1, 0), ("b", 0, 1), ("c", 1, None)]
     df = spark.createDataFrame(data, "id string, ai_stage2_keep int, kmeans_cluster int")
