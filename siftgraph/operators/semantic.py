@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,15 +71,23 @@ def classifier_filter(
     fitted = LogisticRegression(
         maxIter=max_iter, regParam=reg / n, elasticNetParam=0.0, standardization=False
     ).fit(train)
-    scored = vector_or_null(papers, emb, model)
-    # A paper without a vector needs a placeholder to pass through the model; it is masked after.
-    width = fitted.numFeatures
-    filled = F.coalesce(l2_normalize(F.col("vector")), F.array_repeat(F.lit(0.0), width))
-    probed = fitted.transform(scored.withColumn("features", array_to_vector(filled)))
-    probability = vector_to_array("probability")[1]
-    return _decide(probed, probability, tau, f"logreg tau={tau}").drop(
-        "features", "rawPrediction", "probability", "prediction"
-    )
+    probability = _probability(fitted, l2_normalize(F.col("vector")))
+    return _decide(vector_or_null(papers, emb, model), probability, tau, f"logreg tau={tau}")
+
+
+def _probability(fitted: LogisticRegressionModel, vector: Column) -> Column:
+    """Probability of label 1 from the coefficients alone.
+
+    The model's own transform would put the model, and with it the summary and the rows of its
+    training, into every task, which need not be serialisable.
+    """
+    rows = fitted.coefficientMatrix.toArray().tolist()
+    shift = fitted.interceptVector.toArray().tolist()
+    margins = [dot(vector, F.lit(w)) + F.lit(b) for w, b in zip(rows, shift, strict=True)]
+    if len(margins) == 1:
+        return 1.0 / (1.0 + F.exp(-margins[0]))
+    others = [F.exp(m - margins[1]) for i, m in enumerate(margins) if i != 1]
+    return 1.0 / (1.0 + sum(others))
 
 
 def similarity_stats(scored: DataFrame, score: str = "ai_sem_sim", exact: bool = True) -> DataFrame:

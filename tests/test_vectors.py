@@ -153,6 +153,33 @@ def test_classifier_filter(spark):
     assert [r["ai_stage2_keep"] for r in out] == [1] * 20 + [0] * 20 + [None]
 
 
+def test_classifier_scores_without_the_model_in_tasks(spark):
+    x = np.vstack([np.tile([1.0, 0.1], (20, 1)), np.tile([0.1, 1.0], (20, 1))])
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)], "id long, label int")
+    out = semantic.classifier_filter(spark.range(40), frame(spark, x), labels, tau=0.5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in plan and "UserDefinedFunction" not in plan
+    scores = {r["id"]: r["ai_sem_sim"] for r in out.collect()}
+    # The two sides mirror each other.
+    assert 0.5 < scores[0] < 1 and abs(scores[0] + scores[39] - 1) < 1e-6
+
+
+def test_classifier_scores_equal_the_models(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rng = np.random.default_rng(3)
+    data = [(x.tolist(), float(y)) for x, y in zip(rng.normal(size=(60, 3)), rng.integers(0, 3, 60))]
+    rows = spark.createDataFrame(data, "vector array<double>, label double")
+    for some in (rows.where("label < 2"), rows, rows.where("label = 0")):
+        train = some.withColumn("features", array_to_vector("vector"))
+        fitted = LogisticRegression(regParam=0.1).fit(train)
+        both = fitted.transform(train).select(
+            semantic._probability(fitted, F.col("vector")).alias("a"), vector_to_array("probability")[1].alias("b")
+        )
+        assert all(abs(r["a"] - r["b"]) < 1e-9 for r in both.collect())
+
+
 def test_embed_missing_only_fills_gaps(spark):
     papers = spark.createDataFrame([(0, "x", "y"), (9, "new words", None)], "id long, title string, summary string")
     rows = vectors.embed_missing(papers, frame(spark, [[1, 0]]), vectors.hashed_encoder(16)).collect()
