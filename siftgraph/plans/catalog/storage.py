@@ -241,6 +241,16 @@ def read_labels(spark, sf):
     return files.read_labels(spark, path)
 
 
+def _write_pages(rows, path, per_page):
+    """Records as XML pages, evenly dealt: 8, or more where a page would hold over ``per_page``.
+
+    A page is one XML document and is read by one task, so pages must not grow with the table.
+    """
+    pages = rows.repartition(max(8, -(-rows.count() // per_page)))
+    pages.write.format("xml").option("rowTag", "record").option("rootTag", "ListRecords").save(path)
+    return path
+
+
 def _landed(spark, sf, path=None, title="Order\n for ", where="true"):
     """Orders as harvested records: half-finished ones deleted, some names incomplete."""
     path = path or scratch_path(spark, "landing")
@@ -265,9 +275,7 @@ def _landed(spark, sf, path=None, title="Order\n for ", where="true"):
     rows = table(spark, sf, "orders").where(where).select(
         header.alias("header"), F.struct(body.alias("arXiv")).alias("metadata")
     )
-    pages = rows.repartition(8)
-    pages.write.format("xml").option("rowTag", "record").option("rootTag", "ListRecords").save(path)
-    return path
+    return _write_pages(rows, path, 50_000)
 
 
 _RECORDS = """SELECT 'https://arxiv.org/abs/' || o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS published,
@@ -360,8 +368,7 @@ def all_stages(spark, sf):
     )
     header = F.struct(F.concat(F.lit("oai:"), "id").alias("identifier"), F.col("published").alias("datestamp"))
     pages = docs.select(header.alias("header"), F.struct(body.alias("arXiv")).alias("metadata"))
-    pages = pages.repartition(8)
-    pages.write.format("xml").option("rowTag", "record").option("rootTag", "ListRecords").save(landing)
+    _write_pages(pages, landing, 10_000)
     stages = CorpusStages(spark, root, hashed_encoder(64))
     stages.harvest(landing)
     stages.stage1(patterns=PATTERNS, fallback=FALLBACK, exact=EXACT, prefixes=PREFIXES)

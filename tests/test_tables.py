@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from siftgraph.plans.catalog import storage
 from siftgraph.sources import files, tables
 from siftgraph.sources.records import project_record, read_records, valid_records
 from siftgraph.streaming.ingest import Harvest, flat_records, harvest, ingest
@@ -99,6 +100,14 @@ def test_records(spark, tmp_path):
     assert found["https://arxiv.org/abs/4"]["authors"] == ""
 
 
+def test_pages_do_not_grow_with_the_table(spark, tmp_path):
+    data = spark.range(100).selectExpr("struct(string(id) as identifier) as header")
+    storage._write_pages(data, str(tmp_path / "few"), 50)
+    storage._write_pages(data, str(tmp_path / "many"), 5)
+    assert [len(list((tmp_path / d).glob("part-*"))) for d in ("few", "many")] == [8, 20]
+    assert read_records(spark, str(tmp_path / "many")).count() == 100
+
+
 def test_ingest_is_resumable_and_equals_batch(spark, tmp_path):
     landing, target, state = tmp_path / "in", tmp_path / "out", tmp_path / "state"
     landing.mkdir()
