@@ -82,9 +82,9 @@ def grid_join(points: DataFrame, r: float, block_rows: int = BLOCK_ROWS) -> Data
             stop = min(start + _STRIP, len(a))
             _, _, d2, near = _offsets(left, right, start, stop, r)
             i, j = np.nonzero(near & (here[start:stop, None] < there[None, :]))
-            out.append((i + start, j, np.sqrt(d2[i, j])))
-        i, j, d = (np.concatenate(c) for c in zip(*out))
-        return pa.table({"a": a.take(pa.array(i)), "b": b.take(pa.array(j)), "d": d})
+            out.append(pa.table({"a": a.take(pa.array(i + start)), "b": b.take(pa.array(j)), "d": np.sqrt(d2[i, j])}))
+        # The strips stay as they are, so a block's pairs are held once.
+        return pa.concat_tables(out)
 
     return block_cogroup(
         own, around, ["gx", "gy"], "id", "id", kernel, f"a {kind}, b {kind}, d double", block_rows

@@ -2,6 +2,7 @@ import gzip
 import json
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,16 @@ def papers(spark):
     return spark.createDataFrame(data, PAPERS)
 
 
+def test_grid_pairs_of_a_block_are_held_once(spark, monkeypatch):
+    kernels = []
+    monkeypatch.setattr(layout, "block_cogroup", lambda *a: kernels.append(a[5]))
+    layout.grid_join(spark.range(1).selectExpr("id", "0.0D x", "0.0D y"), 0.1)
+    n = 2 * layout._STRIP
+    points = pa.table({"id": range(n), "x": [i / n / 20 for i in range(n)], "y": [0.0] * n})
+    found = kernels[0](points, points)
+    assert found.num_rows == n * (n - 1) // 2 and found.column("a").num_chunks == 2
+
+
 def test_graph_nodes_and_links(spark):
     compact = export.graph_nodes(papers(spark), include_summaries=True, max_summary_len=4)
     assert compact.columns == ["id", "aid", "t", "au", "pd", "dm", "ln", "cid", "sm"]
