@@ -10,7 +10,7 @@ from ...operators.graph import cluster_sizes
 from ...operators.vectors import centroid, hashed_encoder
 from ...session import cut
 from ..label_clusters import label_clusters
-from .base import clustered, embeddings, query
+from .base import clustered, embeddings, papers, query
 
 STOPWORDS = ["the", "of", "and", "la", "de"]
 
@@ -21,9 +21,8 @@ def _text():
 
 @query("document_frequency", "SELECT term, df FROM vocabulary", "terms")
 def document_frequency(spark, sf):
-    docs = clustered(spark, sf)
-    counts = terms.term_counts(docs, _text(), (1, 2), STOPWORDS)
-    return terms.document_frequency(counts, docs.count(), 6, 0.6)
+    found = terms.document_terms(papers(spark, sf), _text(), (1, 2), STOPWORDS)
+    return terms.document_frequency(found, clustered(spark, sf).count(), 6, 0.6)
 
 
 def _weights(spark, sf):
@@ -77,11 +76,7 @@ def diverse_terms(spark, sf):
     "terms",
 )
 def candidate_phrases(spark, sf):
-    docs = clustered(spark, sf)
-    found = terms.document_frequency(
-        terms.term_counts(docs, _text(), (1, 2), STOPWORDS), docs.count(), 6, 0.6
-    )
-    named = found.select(
+    named = document_frequency(spark, sf).select(
         F.when(F.col("df") > 200, "language models").otherwise(F.col("term")).alias("term")
     )
     # Words are those of the terms, so that a term of other letters than a to z stays.

@@ -42,6 +42,14 @@ def test_candidate_phrases_of_other_letters(spark):
     assert rows(labels.candidate_phrases(df)) == []
 
 
+def test_document_terms_need_no_grouping(spark):
+    df = docs(spark, ["a1 b1 a1 b1", "b1 c1", "", None])
+    found = terms.document_terms(df, F.col("text"), (1, 2), ["c1"])
+    assert rows(found) == [(0, "a1"), (0, "a1 b1"), (0, "b1"), (0, "b1 a1"), (1, "b1")]
+    assert rows(terms.document_frequency(found, 4, 2, 1.0)) == [("b1", 2)]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def direct_tfidf(texts, min_df, max_df):
     counts = [Counter(t.split()) for t in texts]
     df = Counter(w for c in counts for w in c)
