@@ -362,3 +362,33 @@ def test_density_equals_direct_hierarchy(spark, seed):
 def test_density_without_structure_is_noise(spark):
     rows = clustering.density_cluster(frame(spark, np.tile([[1.0, 0.0]], (8, 1)))).collect()
     assert {r["hdbscan_cluster"] for r in rows} == {-1}
+
+
+def test_excess_of_mass_in_few_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    # A chain of 150 with a leaf at each step, a plain chain of 100, and a bush.
+    outer = [None] + [i // 2 * 2 for i in range(0, 300)]
+    outer += [0] + list(range(301, 400))
+    outer += [int(rng.integers(0, i)) for i in range(401, 600)]
+    mass = rng.integers(1, 1000, len(outer)).astype(float)
+    inner = [[] for _ in outer]
+    for i, o in enumerate(outer):
+        if o is not None:
+            inner[o].append(i)
+    value, want = list(mass), {}
+    for i in reversed(range(len(outer))):
+        below = sum(value[j] for j in inner[i])
+        want[i] = outer[i] is not None and (not inner[i] or below <= mass[i])
+        value[i] = max(mass[i], below)
+    tree = spark.createDataFrame([(i, o, float(m)) for i, (o, m) in enumerate(zip(outer, mass))], "r long, outer long, mass double")
+    written = []
+
+    def counted(df, name="stage"):
+        written.append(name)
+        return cut(df, name)
+
+    cut = clustering.cut
+    monkeypatch.setattr(clustering, "cut", counted)
+    rows = clustering._excess_of_mass(cut(tree, "tree")).collect()
+    assert {r["r"]: r["picked"] for r in rows} == want and len(rows) == len(outer)
+    assert len(written) < 40
