@@ -35,7 +35,7 @@ def tfidf(spark, sf):
 
 
 def _cluster_terms(spark, sf):
-    return terms.cluster_term_weight(_weights(spark, sf), clustered(spark, sf))
+    return terms.cluster_tfidf(clustered(spark, sf), _text(), (1, 2), 6, 0.6, STOPWORDS)
 
 
 @query("cluster_terms", "SELECT cid, term, round(weight, 6) AS weight FROM cluster_terms", "weights")

@@ -18,7 +18,7 @@ from ..operators.labels import (
     rank_against_centroids,
     representative,
 )
-from ..operators.terms import cluster_term_weight, diverse_terms, tfidf
+from ..operators.terms import cluster_tfidf, diverse_terms
 from ..operators.vectors import Encoder, centroid, for_model
 from ..session import cut
 
@@ -42,8 +42,7 @@ def label_clusters(
     rows = kept(papers, True, cluster).withColumn("cid", F.col(cluster))
     rows = rows.select("id", "title", "summary", "cid")
     text = assemble_text(F.col("title"), F.col("summary"), ". ")
-    weights = tfidf(rows, text, ngram_range, min_df, max_df, stopwords)
-    terms = diverse_terms(cluster_term_weight(weights, rows), topk)
+    terms = diverse_terms(cluster_tfidf(rows, text, ngram_range, min_df, max_df, stopwords), topk)
     phrases = cut(encode_phrases(candidate_phrases(terms, extra), encoder), "phrases")
     vectors = for_model(emb, model).select(F.col("paper_id").alias("id"), "vector")
     members = rows.select("id", "title", "cid").join(vectors, "id")

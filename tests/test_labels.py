@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,27 @@ def direct_diverse(pairs, topk):
     return chosen
 
 
+def test_tfidf_in_small_blocks(spark):
+    rng = np.random.default_rng(2)
+    vocabulary = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(vocabulary, int(rng.integers(0, 30)))) for _ in range(120)]
+    df = docs(spark, texts).withColumn("cid", F.when(F.col("id") % 5 > 0, F.col("id") % 5))
+    args = (F.col("text"), (1, 2), 3, 0.5, [])
+    whole = terms.tfidf(df, *args)
+    key = lambda r: (r["id"], r["term"], r["tf"], r["df"], round(r["weight"], 9))
+    small = terms.tfidf(df, *args, block_words=50)
+    assert sorted(map(key, small.collect())) == sorted(map(key, whole.collect()))
+    # Rows of documents and terms are not shuffled for their norms.
+    assert "windowspecdefinition(id" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    want = terms.cluster_term_weight(whole, df)
+    rows = lambda f: sorted((r["cid"], r["term"], round(r["weight"], 9)) for r in f.collect())
+    assert rows(terms.cluster_tfidf(df, *args, block_words=50)) == rows(want)
+    # Rows with one id are one document, here in two clusters.
+    twice = df.union(df.where("id % 7 = 0").withColumn("cid", F.lit(9)))
+    want = terms.cluster_term_weight(terms.tfidf(twice, *args), twice)
+    assert rows(terms.cluster_tfidf(twice, *args)) == rows(want)
+
+
 def test_diverse_terms(spark):
     data = {
         0: [("deep safety", 0.9), ("safety", 0.8), ("deep safety net", 0.7), ("robust", 0.6), ("models", 0.95)],
