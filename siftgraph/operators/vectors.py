@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -105,6 +106,10 @@ def encode_rows(rows: DataFrame, encoder: Encoder) -> DataFrame:
     return rows.mapInPandas(encoder, schema=f"{_id_field(rows)}, vector array<float>")
 
 
+# Letters of text in a task of the encoding: counting its words takes some 30 times their bytes.
+TASK_LETTERS = 1 << 22
+
+
 def embed_missing(
     papers: DataFrame,
     emb: DataFrame,
@@ -117,16 +122,23 @@ def embed_missing(
 
     A batch encoder runs once per task, so a model is loaded once per task. Id and text travel in
     one row. Encoding costs far more than moving the text, so the rows left to do are spread evenly
-    first, over ``partitions`` or the session's shuffle partitions; a frame encoder that groups by
-    id needs no other shuffle.
+    first, over ``partitions`` or else the session's shuffle partitions, or as many more as keep a
+    task's text, and so its memory, at one size; a frame encoder that groups by id needs no other
+    shuffle.
     """
     todo = missing_embeddings(papers, emb, model).select(
         "id", assemble_text(F.col("title"), F.col("summary"), sep).alias("text")
     )
-    n = partitions or int(papers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or task_count(todo)
     return as_embeddings(encode_rows(todo.repartition(n, "id"), encoder), model)
 
 
+def task_count(rows: DataFrame) -> int:
+    """Tasks for rows with text; a pass over the texts counts their letters."""
+    letters = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(letters / TASK_LETTERS))
+
+
 def as_embeddings(encoded: DataFrame, model: str = VECTOR_MODEL) -> DataFrame:
     unit = l2_normalize(F.col("vector")).cast("array<float>")
     return encoded.select(

@@ -3,7 +3,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siftgraph.operators import blocks, clustering, neighbours, spanning
+from siftgraph.operators import blocks, clustering, neighbours, spanning, vectors
 
 from .test_vectors import brute_knn, direct_ward, found, frame, sample, unit
 
@@ -65,3 +65,11 @@ def test_ward_costs_in_strips(spark, monkeypatch):
     x = sample(50, seed=4, copies=10)
     rows = clustering.ward(frame(spark, x), 4, block_rows=25).orderBy("paper_id").collect()
     assert [r["agg_cluster"] for r in rows] == direct_ward(x, 4)
+
+
+def test_encoding_takes_more_tasks_as_texts_grow(spark, monkeypatch):
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.createDataFrame([(i, "some words " * 10) for i in range(40)], "id long, text string")
+    assert vectors.task_count(rows) == few == vectors.task_count(rows.limit(0))
+    monkeypatch.setattr(vectors, "TASK_LETTERS", 440)
+    assert vectors.task_count(rows) == 10
