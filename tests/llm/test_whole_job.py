@@ -7,7 +7,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from siftgraph.llm import catalog, merge_dropout, mixing
+from siftgraph.llm import catalog, merge_dropout, mixing, trie_join
 from siftgraph.llm.common import mix64, ranges
 
 from . import brute
@@ -86,3 +86,28 @@ def test_token_files_are_as_the_tokenizer_is_loaded(spark, tmp_path):
     got = catalog.QUERIES["op4_token_files"](spark, str(tmp_path))
     loaded = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert sorted(map(tuple, got.collect())) == brute.tokens(loaded, list(enumerate(texts)))
+
+
+def test_levels_come_in_one_job(spark):
+    """The sketch's levels took a job for each shuffle partition, which is most of the time on few rows."""
+    sketch = trie_join.Sketch(16)
+    tokens = mix64(np.arange(5000, dtype=np.uint64) % np.uint64(700))
+    for part in np.array_split(tokens, 50):
+        sketch.add(part)
+    segment, counts = (a.to_pylist() for a in sketch.segments())
+    rows = spark.createDataFrame([*zip(segment, counts), *zip(segment, counts)], "segment long, counts binary")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    sc = spark.sparkContext
+    try:
+        for k, v in zip(kept, ("40", "false"), strict=True):
+            spark.conf.set(k, v)
+        sc.setJobGroup("levels", "levels")
+        level = trie_join._levels(rows, 16).value
+        jobs = sc.statusTracker().getJobIdsForGroup("levels")
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    expected = np.minimum(4 * np.log2(1 + 2 * sketch.counts.astype(np.int64)), 255).astype(np.uint8)
+    assert np.array_equal(level, expected)
+    assert len(jobs) < 10
