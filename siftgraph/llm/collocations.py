@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import hot_split_join
 from ..session import cut
-from .common import binary_array, flat, give_back, mix64, ranges, slices, spread
+from .common import binary_array, flat, gathered, give_back, lean, mix64, ranges, slices, spread
 from .sorted_runs import in_order, last_seen
 
 LONGEST = 5
@@ -21,6 +21,8 @@ BLANKS = b" \x09"
 # The sieve of frequent phrases has this many bits (16 MB) at any size of the input.
 SIEVE_BITS = 1 << 27
 SLICE = 4 << 20
+# Words whose bytes are hashed at a time.
+WORDS = 1 << 16
 # A language's phrases are ranked in so many parts first.
 PARTS = 32
 ROWS = "lang string, phrase string, a long, l long, r long, n long, score long"
@@ -48,21 +50,31 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         begins[first] = inside[first]
     starts = np.flatnonzero(begins)
     text = np.searchsorted(at, starts, side="right") - 1
-    piece = np.cumsum(sort == 2)[starts] + text
-    order = np.cumsum(begins)[inside] - 1
-    size = np.bincount(order, minlength=len(starts))
-    out = np.zeros(int(inside.sum()) + len(starts), np.uint8)
-    out[np.arange(len(order)) + order] = low[data[inside]]
-    return out, np.cumsum(size + 1) - (size + 1), size, piece, text
+    piece = np.cumsum(sort == 2, dtype=np.int32)[starts] + text
+    ends = inside.copy()
+    ends[:-1] &= begins[1:] | ~inside[1:]
+    size = np.flatnonzero(ends) + 1 - starts
+    begin = np.cumsum(size + 1) - (size + 1)
+    word = np.ones(int(inside.sum()) + len(starts), bool)
+    word[begin + size] = False
+    out = np.zeros(len(word), np.uint8)
+    out[word] = low[data[inside]]
+    return out, begin, size, piece, text
 
 
 def _hashes(out: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word, from its bytes and their places."""
     power = mix64(np.arange(int(size.max(initial=0)) + 1, dtype=np.uint64) + np.uint64(7)) | np.uint64(1)
-    place = np.arange(len(out)) - np.repeat(begin, size + 1)
+    hashes = np.empty(len(begin), np.uint64)
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(out * power[place], dtype=np.uint64)])
-        return mix64(sums[begin + size] - sums[begin])
+        for i in range(0, len(begin), WORDS):
+            n = size[i : i + WORDS]
+            first = begin[i : i + WORDS] - begin[i]
+            some = out[begin[i] : begin[i] + first[-1] + n[-1] + 1]
+            place = np.arange(len(some)) - np.repeat(first, n + 1)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(some * power[place], dtype=np.uint64)])
+            hashes[i : i + WORDS] = mix64(sums[first + n] - sums[first])
+    return hashes
 
 
 def _extended(hashes: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -157,7 +169,7 @@ def _counted(texts: DataFrame, lengths: tuple[int, ...], pairs: Sieve | None) ->
                     continue
                 last = at + m - 1
                 span = begin[last] + size[last] - begin[at]
-                keys = binary_array(out[ranges(begin[at], span)], np.concatenate([[0], np.cumsum(span)]))
+                keys = binary_array(gathered(out, begin[at], span), np.concatenate([[0], np.cumsum(span)]))
                 table = pa.table({"lang": lang[at], "key": keys})
                 table = table.group_by(["lang", "key"], use_threads=False).aggregate([("key", "count")])
                 names = langs.dictionary.take(table.column("lang").combine_chunks())
@@ -220,7 +232,8 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, longest: in
 
     Columns: lang, rank, phrase, a, l, r, n, score.
     """
-    counts, totals = phrase_counts(docs, least, longest)
+    with lean(docs.sparkSession):
+        counts, totals = phrase_counts(docs, least, longest)
     latin = F.decode("key", "ISO-8859-1")
     back = F.encode(F.array_join(F.reverse(F.split(latin, "\\x00")), "\0"), "ISO-8859-1")
     first, last = _parts(counts, F.col("key"), longest, "first"), _parts(counts, back, longest, "last")

@@ -88,6 +88,19 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - first, lengths)
 
 
+def gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """``data`` at the ranges from each start on, in a row; about ``most`` places are held at a time,
+    as a place takes eight times the memory of a byte."""
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    out = np.empty(int(ends[-1]), data.dtype)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + most, side="right")) - 1)
+        out[ends[i] : ends[j]] = data[ranges(starts[i:j], lengths[i:j])]
+        i = j
+    return out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit words that spreads every bit (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)
