@@ -1,5 +1,6 @@
 """Operators and stages do the whole of their job: what they decide and compute is in what they return."""
 
+import os
 import zlib
 
 import numpy as np
@@ -7,6 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from siftgraph import session
 from siftgraph.llm import catalog, merge_dropout, mixing, trie_join
 from siftgraph.llm.common import mix64, ranges
 
@@ -111,3 +113,21 @@ def test_levels_come_in_one_job(spark):
     expected = np.minimum(4 * np.log2(1 + 2 * sketch.counts.astype(np.int64)), 255).astype(np.uint8)
     assert np.array_equal(level, expected)
     assert len(jobs) < 10
+
+
+def test_ngram_join_deletes_large_tables(spark, monkeypatch):
+    """Sets and prefixes are larger than the texts and end with their use; a small list of what goes is sent to the documents."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[: 55 + i % 5], f"x{i // 40}"])) for i in range(120)] + [(500, "a b c d e f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(trie_join, "BLOCK", 32)
+    monkeypatch.setattr(session, "_written", [])
+    kept = trie_join.drop_near(df)
+    left = {os.path.basename(p).rsplit("-", 1)[0] for p in session._written}
+    assert left == {"ngram-gone"}
+    assert "BroadcastHashJoin" in kept._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id for r in kept.collect()} >= {0, 500}
+    session._written.clear()
+    trie_join.near_groups(df)
+    left = {os.path.basename(p).rsplit("-", 1)[0] for p in session._written}
+    assert not left & {"ngram-prefixes", "ngram-sets", "ngram-large"}

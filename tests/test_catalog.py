@@ -2,6 +2,7 @@
 
 import math
 import os
+import time
 
 import duckdb
 import pytest
@@ -65,6 +66,28 @@ def test_release_deletes_what_was_cut(spark, tmp_path, monkeypatch):
     assert session.release(spark) == 1 and not list(tmp_path.iterdir())
 
 
+def test_cut_ends_shuffles_and_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "scratch_root", lambda _: str(tmp_path))
+    monkeypatch.setattr(session, "_written", [])
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return sum("shuffle_" in files.apply(i).getName() for i in range(files.size()))
+
+    spark._jvm.System.gc()
+    time.sleep(2)
+    before = shuffled()
+    first = session.cut(spark.range(1000).repartition(4, "id"), "first")
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before
+    last = session.cut_alone(lambda: session.cut(first, "inner").where("id < 7"), "last", [first])
+    assert last.count() == 7 and [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["last"]
+
+
 def test_scratch_folder_is_the_sessions():
     class Conf(dict):
         def get(self, key, default=None):
