@@ -26,7 +26,7 @@ def candidate_phrases(
     named = terms.select(F.col("term").alias("phrase"))
     if extra:
         named = named.union(spark.createDataFrame([(p,) for p in extra], "phrase string"))
-    if named.isEmpty():
+    elif (named := cut(named.distinct(), "phrases")).isEmpty():  # the terms are counted once
         named = spark.createDataFrame([(p,) for p in DEFAULT_PHRASES], "phrase string")
     return named.distinct().where(~is_generic_phrase(F.col("phrase"), token=token))
 

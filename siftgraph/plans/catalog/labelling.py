@@ -21,8 +21,7 @@ def _text():
 
 @query("document_frequency", "SELECT term, df FROM vocabulary", "terms")
 def document_frequency(spark, sf):
-    found = terms.document_terms(papers(spark, sf), _text(), (1, 2), STOPWORDS)
-    return terms.document_frequency(found, clustered(spark, sf).count(), 6, 0.6)
+    return terms.vocabulary(papers(spark, sf), _text(), clustered(spark, sf).count(), (1, 2), 6, 0.6, STOPWORDS)
 
 
 def _weights(spark, sf):

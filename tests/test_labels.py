@@ -43,6 +43,14 @@ def test_candidate_phrases_of_other_letters(spark):
     assert rows(labels.candidate_phrases(df)) == []
 
 
+def test_candidate_phrases_count_terms_once(spark):
+    late = spark.range(1).select(F.raise_error(F.concat(F.lit("read "), "id")).cast("string").alias("term"))
+    labels.candidate_phrases(late, ["agents"])  # read by the caller alone
+    found = spark.createDataFrame([("tall models",)], "term string")
+    plan = labels.candidate_phrases(found)._jdf.queryExecution().executedPlan().toString()
+    assert "phrases-" in plan  # read once, into a table
+
+
 def test_document_terms_need_no_grouping(spark):
     df = docs(spark, ["a1 b1 a1 b1", "b1 c1", "", None])
     found = terms.document_terms(df, F.col("text"), (1, 2), ["c1"])
@@ -72,6 +80,25 @@ def test_tfidf_bounds_are_inclusive(spark):
     assert ("bb" in {t for _, t in got}) and ("aa" not in {t for _, t in got})
 
 
+def test_vocabulary_is_document_frequency(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(50)] + ["é", "ßé", "slow ﬁ", "x"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(25))) for _ in range(150)] + [None, ""]
+    df = docs(spark, texts).repartition(3)
+    want = rows(terms.document_frequency(terms.document_terms(df, F.col("text"), (1, 2), ["w3"]), 152, 3, 0.5))
+    for block_words in (1, 40, 1 << 20):
+        assert rows(terms.vocabulary(df, F.col("text"), 152, (1, 2), 3, 0.5, ["w3"], block_words)) == want
+    assert len(want) > 40
+    assert rows(terms.vocabulary(df.limit(0), F.col("text"), 0)) == []
+
+
+def test_terms_travel_packed(spark):
+    """No row for each term and block is shuffled, and documents travel as texts."""
+    found = terms.tfidf(docs(spark, ["aa bb cc", "aa bb"]), F.col("text"), (1, 2), 1, 1.0, [])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning(term" not in plan and "hashpartitioning(part" in plan
+
+
 def test_tfidf_with_hot_terms(spark):
     rng = random.Random(4)
     texts = ["hot " + " ".join(rng.choices([f"w{i:02d}" for i in range(30)], k=8)) for _ in range(200)]
