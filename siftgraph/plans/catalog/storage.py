@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions.fixed import ABSTRACT_URL
 from ...operators.vectors import hashed_encoder
-from ...session import scratch_path
+from ...session import scratch_path, shuffles_end
 from ...sources import files, tables
 from ...sources.records import project_record, read_records, valid_records
 from ...streaming.ingest import harvest, ingest
@@ -244,10 +244,12 @@ def read_labels(spark, sf):
 def _write_pages(rows, path, per_page):
     """Records as XML pages, evenly dealt: 8, or more where a page would hold over ``per_page``.
 
-    A page is one XML document and is read by one task, so pages must not grow with the table.
+    A page is one XML document and is read by one task, so pages must not grow with the table. They
+    land compressed, as plain XML takes some twenty times the room.
     """
     pages = rows.repartition(max(8, -(-rows.count() // per_page)))
-    pages.write.format("xml").option("rowTag", "record").option("rootTag", "ListRecords").save(path)
+    with shuffles_end(rows.sparkSession):
+        pages.write.format("xml").options(rowTag="record", rootTag="ListRecords", compression="gzip").save(path)
     return path
 
 
