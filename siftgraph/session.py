@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -63,8 +64,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-# Ends a write's shuffle files with the write; otherwise they stay until the driver collects garbage.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+@contextlib.contextmanager
+def shuffles_end(spark: SparkSession):
+    """Shuffle files of queries run inside end with the query, not when the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def cut(df: DataFrame, name: str = "stage", after: Sequence[DataFrame] = ()) -> DataFrame:
@@ -77,15 +86,11 @@ def cut(df: DataFrame, name: str = "stage", after: Sequence[DataFrame] = ()) ->
     spark = df.sparkSession
     path = scratch_path(spark, name)
     _written.append(path)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with shuffles_end(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._siftgraph_path = path
-    _delete(spark, [p for p in (vars(x).get("_siftgraph_path") for x in after) if p])
+    discard(spark, after)
     return out
 
 
@@ -100,6 +105,11 @@ def cut_alone(make: Callable[[], DataFrame], name: str = "stage", after: Sequenc
     return out
 
 
+def discard(spark: SparkSession, tables: Sequence[DataFrame]) -> None:
+    """Delete tables that ``cut`` returned; others are left alone."""
+    _delete(spark, [p for p in (vars(x).get("_siftgraph_path") for x in tables) if p])
+
+
 def _delete(spark: SparkSession, paths: Sequence[str]) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path
     conf = spark._jsc.hadoopConfiguration()

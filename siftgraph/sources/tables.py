@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
+from ..session import cut, discard, shuffles_end
 
 # Schemas as DDL, so that importing needs no session.
 PAPERS_RAW = (
@@ -184,7 +184,8 @@ class SnapshotTable:
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]
         whole = ensure_columns(df, self.schema).select(*columns)
         number = done[-1] + 1 if done else 1
-        whole.write.mode("overwrite").parquet(self._folder(number))
+        with shuffles_end(self.spark):
+            whole.write.mode("overwrite").option("compression", "zstd").parquet(self._folder(number))
         for old in (done + [number])[: -self.keep]:
             self._fs.delete(self._hadoop_path(self._folder(old)), True)
         return self.read()
@@ -236,18 +237,23 @@ class BucketTable:
         found = source.select(self._bucket().alias("b")).distinct().collect()
         return sorted(r["b"] for r in found)
 
-    def upsert(self, source: DataFrame, **how) -> DataFrame:
-        """The table after ``upsert`` of ``source``; ``prune`` would concern all parts and is refused."""
+    def upsert(self, source: DataFrame, after: Sequence[DataFrame] = (), **how) -> DataFrame:
+        """The table after ``upsert`` of ``source``; ``prune`` would concern all parts and is refused.
+        Tables of cuts in ``after`` are read for the source alone and are deleted once it is written."""
         if how.get("prune"):
             raise ValueError("a merge by parts cannot prune")
-        source = cut(source, "merge-source")
+        source = cut(source, "merge-source", after)
         parts = self.touched(source)
         if parts:
             merged = upsert(self.read(parts), source, self.keys, **how)
             columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]
             whole = ensure_columns(merged, self.schema).select(*columns)
-            whole = cut(whole.withColumn("_bucket", self._bucket()), "merged")
-            whole.repartition(len(parts), "_bucket").write.mode("overwrite").option(
-                "partitionOverwriteMode", "dynamic"
-            ).partitionBy("_bucket").parquet(self.folder)
+            whole = cut(whole.withColumn("_bucket", self._bucket()), "merged", [source])
+            with shuffles_end(self.spark):
+                whole.repartition(len(parts), "_bucket").write.mode("overwrite").options(
+                    partitionOverwriteMode="dynamic", compression="zstd"
+                ).partitionBy("_bucket").parquet(self.folder)
+            discard(self.spark, [whole])
+        else:
+            discard(self.spark, [source])
         return self.read()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fixed import FIRST_DAY, RECORD_SETS
-from ..session import cut
+from ..session import cut, discard, shuffles_end
 from ..sources.records import in_window, project_record, read_records, valid_records
 from ..sources.tables import PAPERS_RAW, BucketTable, SnapshotTable, latest_per_key
 
@@ -87,8 +87,8 @@ class Harvest:
         staged, counts = f"{self._staged}/rows", f"{self._staged}/counts"
         landed = self._read(staged, LANDED)
         both = landed.unionByName(self.waiting.read())
-        order = F.struct("landed_run", "set_rank", *ARRIVAL)
-        both = cut(both.withColumn("seq", order), "harvest-candidates")
+        # What landed and what waits are tables already.
+        both = both.withColumn("seq", F.struct("landed_run", "set_rank", *ARRIVAL))
         window = in_window(both, from_date, until_date)
         saved = Observation()
         taken = latest_per_key(window.observe(saved, F.count(F.lit(1)).alias("saved")), ["id"], [F.col("seq")])
@@ -101,12 +101,13 @@ class Harvest:
         rest = both.where(outside).join(mine, F.col("id") == F.col("_id"), "left")
         rest = rest.where("_seq is null or seq > _seq").drop("_id", "_seq")
         rest = cut(latest_per_key(rest, ["id", "datestamp"], [F.col("seq")]), "harvest-waiting")
-        self._merge(taken.drop("seq"), rest)
-        before = self.waiting.read()
-        if not (rest.isEmpty() and before.isEmpty()):
+        left = rest.count()
+        self._merge(taken, rest)
+        if left or not self.waiting.read().isEmpty():
             self.waiting.replace(rest.drop("seq"))
+        discard(self.spark, [taken, rest])
         seen = self._read(counts, "scanned long, valid long").agg(F.sum("scanned").alias("scanned"), F.sum("valid").alias("valid")).first()
-        row = (number, from_date, until_date, seen.scanned or 0, seen.valid or 0, saved.get.get("saved", 0), rest.count())
+        row = (number, from_date, until_date, seen.scanned or 0, seen.valid or 0, saved.get.get("saved", 0), left)
         state = self.spark.createDataFrame([row], RUNS)
         state.coalesce(1).write.mode("append").parquet(self._runs)
         path, system = self._path(self._staged)
@@ -123,7 +124,8 @@ class Harvest:
             rows = rows.observe(valid, F.count(F.lit(1)).alias("n"))
             rows = rows.withColumns({"datestamp": F.coalesce("datestamp", F.lit("")), "landed_run": F.lit(number), "set_rank": rank})
             # A batch that is replayed replaces what it wrote before.
-            rows.write.mode("overwrite").parquet(f"{self._staged}/rows/batch={n}")
+            with shuffles_end(self.spark):
+                rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self._staged}/rows/batch={n}")
             counts = self.spark.createDataFrame([(scanned.get.get("n", 0), valid.get.get("n", 0))], "scanned long, valid long")
             counts.coalesce(1).write.mode("overwrite").parquet(f"{self._staged}/counts/batch={n}")
 
@@ -137,7 +139,7 @@ class Harvest:
         query.awaitTermination()
 
     def _merge(self, taken: DataFrame, rest: DataFrame) -> None:
-        """Rows that the table lacks or has otherwise go into their parts of it."""
+        """Rows that the table lacks or has otherwise go into their parts of it; ``taken`` is used up."""
         parts = self.table.touched(taken)
         if not parts:
             return
@@ -146,7 +148,7 @@ class Harvest:
         later = rest.select(F.col("id").alias("_later")).distinct()
         rows = taken.join(known, F.col("id") == F.col("_id"), "left").join(later, F.col("id") == F.col("_later"), "left")
         new = F.col("_id").isNull() | (F.col("_later").isNull() & ~F.struct(*columns).eqNullSafe(F.col("_row")))
-        self.table.upsert(rows.where(new).select(*columns))
+        self.table.upsert(rows.where(new).select(*columns), [taken])
 
 
 def ingest(

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from siftgraph import session
 from siftgraph.plans.catalog import storage
 from siftgraph.sources import files, tables
 from siftgraph.sources.records import project_record, read_records, valid_records
@@ -218,3 +219,24 @@ def test_side_files(spark, tmp_path):
     (tmp_path / "labels.csv").write_text("id,label\nx,1\ny,0\n")
     assert rows(files.read_ids(spark, str(tmp_path / "seeds.txt")), "id") == [("a",), ("b",)]
     assert rows(files.read_labels(spark, str(tmp_path / "labels.csv")), "id", "label") == [("x", 1), ("y", 0)]
+
+
+def test_harvest_leaves_only_its_tables(spark, tmp_path, monkeypatch):
+    """Pages land compressed; what a run writes on its way is deleted, and its shuffles end."""
+    monkeypatch.setattr(session, "scratch_root", lambda _: str(tmp_path))
+    monkeypatch.setattr(session, "_written", [])
+    day = F.to_timestamp(F.lit("2001-02-03"))
+    orders = spark.range(40).select(
+        F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), F.lit("2-HIGH").alias("o_orderpriority"),
+        F.lit("O").alias("o_orderstatus"), day.alias("o_orderdate"), F.lit(1.5).alias("o_totalprice"),
+    )
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    landing = storage._landed(spark, str(tmp_path), str(tmp_path / "landing"))
+    pages = [p.name for p in (tmp_path / "landing").iterdir() if p.name.startswith("part-")]
+    assert pages and all(p.endswith(".xml.gz") for p in pages)
+    paths = [landing, str(tmp_path / "papers"), str(tmp_path / "state")]
+    assert ingest(spark, *paths, until_date="2001-01-01").count() == 0
+    assert ingest(spark, *paths).count() == 40
+    assert session._written == []
+    left = {p.name for p in tmp_path.iterdir()}
+    assert left == {"orders.parquet", "landing", "papers", "papers_runs", "papers_waiting", "state"}
