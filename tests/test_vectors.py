@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftgraph.operators import clustering, lloyd, neighbours, semantic, spanning, vectors
-from siftgraph.operators.clustering import ward_tree
+from siftgraph.operators.clustering import ward_rounds, ward_tree
 from siftgraph.operators.spanning import dense_tree
 
 
@@ -279,6 +279,24 @@ def test_ward_equals_direct_definition_in_rounds_and_blocks(spark, block_rows):
         assert [r["agg_cluster"] for r in rows] == direct_ward(x, k)
 
 
+def test_ward_rounds_in_a_task_equal_merging_one_by_one():
+    rng = np.random.default_rng(12)
+    x, n = rng.normal(size=(400, 6)), rng.integers(1, 5, 400).astype(float)
+    want = sorted(zip(*(a.tolist() for a in ward_tree(x, n)), strict=True))
+    for most in (1, 30, 400):
+        at, c, left, *merges = ward_rounds(x, n, most)
+        last = ward_tree(c, left)
+        lo, hi, cost = (np.concatenate(p) for p in zip(merges, (at[last[0]], at[last[1]], last[2]), strict=True))
+        got = sorted(zip(lo.tolist(), hi.tolist(), cost.tolist(), strict=True))
+        assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
+
+
+def test_ward_finishes_rounds_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "_ward_nearest", None)  # no round of jobs for so few
+    x = np.random.default_rng(3).normal(size=(2100, 4))
+    assert clustering.ward(frame(spark, x), 5).select("agg_cluster").distinct().count() == 5
+
+
 def test_ward_with_few_or_no_rows(spark):
     emb = frame(spark, [[1.0, 0.0], [1.0, 0.0], [0.0, 1.0]])
     assert [r[1] for r in sorted(clustering.ward(emb, 8).collect())] == [0, 0, 1]
